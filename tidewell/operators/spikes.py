@@ -1,2 +1,369 @@
-def faulty_rows(samples, metric_info):
-    raise NotImplementedError
+"""Faulty readings per series: spikes, frozen stretches and values that the quantity cannot take.
+
+A local-level state-space model is filtered per series (a Kalman filter; counters carry their usual step as drift).
+A reading whose standardised innovation passes the gate is flagged and its update withheld. A run of flagged
+readings that agree with each other for ``SHIFT_RUN`` readings is a lasting change of level (or a restart): the state
+moves there and the run is no fault. A stretch in which the innovation variance vanishes although the series otherwise
+moves is frozen.
+
+Scale: a series' readings are cut into shards of about ``SHARD_ROWS`` rows, at boundaries found from row counts per
+(series, ten minutes); neighbouring shards exchange ``HALO_ROWS`` readings, with which the filter settles and runs
+across a boundary are completed. No task holds more than a shard of a series. A task filters its shards side by side:
+one numpy step advances all of them.
+
+The gate's width is the series' own noise; how wide the usual bursts of a metric reach is taken from the histogram of
+all innovations of the metric, merged over all shards.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidewell.model import series_hash
+from tidewell.runtime import join_small, shuffle_width, stored
+
+SHARD_ROWS = 2048
+HALO_ROWS = 96
+BUCKET_MS = 600_000
+#: Readings that must agree before a change of level is taken as lasting.
+SHIFT_RUN = 7
+#: Equal readings that make a frozen stretch.
+FROZEN_RUN = 10
+#: Gate in standard deviations, and the share of a metric's readings whose innovations count as usual.
+GATE = 6.0
+USUAL_SHARE = 0.985
+USUAL_MARGIN = 1.4
+#: What a unit can measure. Units not named are unbounded.
+UNIT_BOUNDS = {
+    "percent": (0.0, 100.0),
+    "ratio": (0.0, 1.0),
+    "celsius": (-273.15, 1e4),
+    "seconds": (0.0, None),
+    "ms": (0.0, None),
+    "bytes": (0.0, None),
+    "rows": (0.0, None),
+    "requests": (0.0, None),
+    "operations": (0.0, None),
+    "messages": (0.0, None),
+    "threads": (0.0, None),
+    "rpm": (0.0, None),
+    "volt": (0.0, None),
+}
+_BINS = 80
+
+
+def _readings(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
+    """Live readings with hashes of the series, a metric number, its kind and its bounds."""
+    info = metric_info.where("metric IS NOT NULL").groupBy("metric").agg(F.max("kind").alias("_kind"), F.max("unit").alias("_unit"))
+    h1, h2 = series_hash()
+    rows = samples.where("NOT coalesce(is_deleted, false) AND ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    low = F.lit(None).cast("double")
+    high = F.lit(None).cast("double")
+    for unit, (a, b) in UNIT_BOUNDS.items():
+        low = F.when(F.col("_unit") == unit, F.lit(a)).otherwise(low)
+        high = F.when(F.col("_unit") == unit, F.lit(b)).otherwise(high)
+    info = info.select("metric", (F.coalesce("_kind", F.lit("gauge")) == "counter").alias("_counter"), low.alias("_low"), high.alias("_high"))
+    slim = rows.select("sample_id", "metric", "ts", "value", h1.alias("h1"), h2.alias("h2"))
+    return join_small(slim, info, "metric", "left").select(
+        "sample_id",
+        "ts",
+        "value",
+        "h1",
+        "h2",
+        F.xxhash64("metric").alias("m"),
+        F.coalesce("_counter", F.lit(False)).alias("counter"),
+        (F.coalesce(F.col("value") < F.col("_low"), F.lit(False)) | F.coalesce(F.col("value") > F.col("_high"), F.lit(False))).alias("impossible"),
+    )
+
+
+def _profile(rows: DataFrame) -> DataFrame:
+    """Per metric whether its readings are positive and skewed, so that they are judged by their logarithm.
+
+    Skew is the ratio of the upper to the lower spread around the median, per series, and the median of that over
+    the metric's series. All rows take part; the states are mergeable sketches.
+    """
+    per_series = (
+        rows.where("NOT counter AND NOT impossible")
+        .groupBy("m", "h1", "h2")
+        .agg(F.percentile_approx("value", [0.1, 0.5, 0.9], 500).alias("q"), F.avg((F.col("value") > 0).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    )
+    up, down = F.col("q")[2] - F.col("q")[1], F.col("q")[1] - F.col("q")[0]
+    skew = F.when(down > 0, up / down)
+    return (
+        per_series.where("n >= 20")
+        .groupBy("m")
+        .agg(F.percentile_approx(skew, 0.5, 1000).alias("skew"), F.avg("pos").alias("pos"))
+        .select("m", F.coalesce((F.col("skew") > 1.5) & (F.col("pos") > 0.97), F.lit(False)).alias("skewed"))
+    )
+
+
+def _shards(rows: DataFrame, shard_rows: int, halo_rows: int) -> DataFrame:
+    """Rows with ``shard`` and ``core``; rows near a boundary appear once more in each shard whose halo they are.
+
+    Row counts per (series, bucket) are summed along the series; a bucket belongs to the shard in which its
+    first row falls, and to every shard that begins or ends within ``halo_rows`` rows of it.
+    """
+    rows = rows.withColumn("bucket", F.expr(f"ts div {BUCKET_MS}L"))
+    counts = rows.groupBy("h1", "h2", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    ahead = W.partitionBy("h1", "h2").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    at = counts.select("h1", "h2", "bucket", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("c"), F.sum("n").over(W.partitionBy("h1", "h2")).alias("all"))
+    # only series of more than one shard are cut
+    cut = at.where(F.col("all") > shard_rows).select(
+        "h1",
+        "h2",
+        "bucket",
+        F.expr(f"c div {shard_rows}L").alias("own"),
+        F.expr(f"sequence(greatest(c - {halo_rows}L, 0L) div {shard_rows}L, (c + n - 1 + {halo_rows}L) div {shard_rows}L)").alias("of"),
+    )
+    wide = rows.join(cut.hint("merge"), ["h1", "h2", "bucket"], "left").drop("bucket")
+    return wide.withColumn("shard", F.explode(F.coalesce("of", F.array(F.lit(0).cast("bigint"))))).withColumn(
+        "core", F.col("shard") == F.coalesce("own", F.lit(0))
+    ).drop("of", "own")
+
+
+# --- numpy: many shards side by side -----------------------------------------------------------------------------------
+
+
+def _group_median(x: np.ndarray, g: np.ndarray, k: int, default: float = 0.0) -> np.ndarray:
+    """Lower median of x per group number g in 0..k-1."""
+    out = np.full(k, default)
+    if len(x):
+        order = np.lexsort((x, g))
+        n = np.bincount(g, minlength=k)
+        start = np.concatenate(([0], np.cumsum(n)[:-1]))
+        has = n > 0
+        out[has] = x[order][(start + (n - 1) // 2)[has]]
+    return out
+
+
+def _spread(d: np.ndarray, g: np.ndarray, k: int, centre: np.ndarray) -> np.ndarray:
+    """Robust standard deviation of d per group; where more than half are equal, from the mean of the clipped rest."""
+    dev = np.abs(d - centre[g])
+    mad = 1.4826 * _group_median(dev, g, k)
+    n = np.maximum(np.bincount(g, minlength=k), 1)
+    moving = np.bincount(g, weights=dev > 0, minlength=k) / n
+    nonzero = dev > 0
+    typical = _group_median(dev[nonzero], g[nonzero], k)
+    clipped = np.minimum(dev, 3 * typical[g])
+    alt = 1.2533 * np.bincount(g, weights=clipped, minlength=k) / n
+    return np.where((mad == 0) & (moving > 0.05), alt, mad)
+
+
+def _filter(y: np.ndarray, skip: np.ndarray, n: np.ndarray, start: np.ndarray, drift: np.ndarray, q: np.ndarray, r: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kalman filter of all shards at once; returns standardised innovations and the number of the shift run (0: none).
+
+    Shards are ordered by length, so the ones still running are a prefix. A flagged reading does not update the
+    state; it starts or extends a rival level. SHIFT_RUN agreeing readings move the state to the rival.
+    """
+    z, run = np.zeros(len(y)), np.zeros(len(y), dtype=np.int64)
+    accepted = [np.zeros(0, dtype=np.int64)]
+    order = np.argsort(-n, kind="stable")
+    n, start, drift, q, r = n[order], start[order], drift[order], q[order], r[order]
+    k = len(n)
+    m, p = first[order].copy(), r + 4 * q
+    rival, agree, rid = np.zeros(k), np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+    fresh = 1
+    top = int(n[0]) if k else 0
+    live = np.searchsorted(-n, -np.arange(top), side="left")  # shards longer than t
+    for t in range(top):
+        a = live[t]
+        i = start[:a] + t
+        obs, use = y[i], ~skip[i]
+        pred = m[:a] + drift[:a]
+        var = p[:a] + q[:a]
+        s = var + r[:a]
+        dev = obs - pred
+        e = dev / np.sqrt(s)
+        z[i] = np.where(use, e, 0.0)
+        fine = np.abs(e) <= GATE
+        gain = np.where(use & fine, var / s, 0.0)
+        m[:a] = pred + gain * dev
+        # a withheld update lets the uncertainty grow, but not without end
+        p[:a] = np.minimum(var * (1 - gain), r[:a] + 16 * q[:a])
+        off = use & ~fine
+        if off.any():
+            j = np.flatnonzero(off)
+            near = (agree[j] > 0) & (np.abs(obs[j] - rival[j] - drift[j]) <= GATE * np.sqrt(2 * (r[j] + q[j])))
+            new = ~near
+            ids = np.arange(fresh, fresh + int(new.sum()))
+            fresh += len(ids)
+            rid[j[new]] = ids
+            agree[j] = np.where(near, agree[j] + 1, 1)
+            rival[j] = np.where(near, rival[j] + drift[j] + (obs[j] - rival[j] - drift[j]) / np.maximum(1, np.where(drift[j] != 0, 1, agree[j])), obs[j])
+            run[i[j]] = rid[j]
+            moved = j[agree[j] >= SHIFT_RUN]
+            if len(moved):
+                accepted.append(rid[moved])
+                m[moved], p[moved] = rival[moved], r[moved] + q[moved]
+                agree[moved] = 0
+        back = use & fine
+        agree[:a][back] = 0
+    is_shift = np.zeros(fresh, dtype=bool)
+    is_shift[np.concatenate(accepted)] = True
+    return z, np.where(is_shift[run], run, 0)
+
+
+def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, skewed: np.ndarray, impossible: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Innovations and frozen flags of readings sorted by (g, ts); g numbers the shards from 0.
+
+    Equal (ts, value) of a shard is one reading delivered more than once: judged once, the verdict holds for all.
+    Shards of fewer than 8 distinct readings get innovations of 0.
+    """
+    order = np.lexsort((v, ts, g))
+    same = np.zeros(len(v), dtype=bool)
+    o1, o0 = order[1:], order[:-1]
+    same[1:] = (g[o1] == g[o0]) & (ts[o1] == ts[o0]) & (v[o1] == v[o0])
+    u = order[~same]  # one row of each distinct reading
+    back = np.empty(len(v), dtype=np.int64)
+    back[order] = np.cumsum(~same) - 1
+    ug, uv, uts, bad = g[u], v[u], ts[u], impossible[u]
+    k = int(ug[-1]) + 1 if len(ug) else 0
+    n = np.bincount(ug, minlength=k)
+    start = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+    kind, log = counter[u][start], skewed[u][start]
+    ok = ~bad
+    med = _group_median(uv[ok], ug[ok], k)
+    with np.errstate(all="ignore"):
+        y = np.where(log[ug], np.log(np.maximum(uv, 0) + 0.02 * np.abs(med[ug]) + 1e-300), uv)
+    level = np.where(log, np.log(1.02 * np.abs(med) + 1e-300), med)
+    # steps between usable neighbours give noise, drift of counters, and how fast the level wanders
+    fit = np.flatnonzero(ok)
+    fg, fy = ug[fit], y[fit]
+
+    def steps(lag: int) -> tuple[np.ndarray, np.ndarray]:
+        keep = fg[lag:] == fg[:-lag] if len(fg) > lag else np.zeros(0, dtype=bool)
+        return (fy[lag:] - fy[:-lag])[keep] if len(fg) > lag else np.zeros(0), fg[lag:][keep] if len(fg) > lag else np.zeros(0, dtype=np.int64)
+
+    d1, g1 = steps(1)
+    d3, g3 = steps(3)
+    drift = np.where(kind, _group_median(d1, g1, k), 0.0)
+    s1, s3 = _spread(d1, g1, k, drift), _spread(d3, g3, k, 3 * drift)
+    floor = np.where(log, 1e-3, 1e-3 * np.abs(med)) + 1e-12
+    floor = np.where(kind, 0.05 * np.abs(drift) + 1e-9, floor)
+    v1 = np.maximum(s1, floor) ** 2
+    v3 = np.maximum(s3, floor) ** 2
+    q = np.where(kind, v1, np.clip((v3 - v1) / 2, 0.01 * v1, v1))
+    r = np.where(kind, 0.01 * v1, np.maximum((v1 - q) / 2, 0.05 * v1))
+    head = fit[np.concatenate(([True], fg[1:] != fg[:-1]))] if len(fit) else fit
+    first = level.copy()
+    if len(fit):
+        # start from the median of the first readings, so that a faulty first one does not set the level
+        place = np.arange(len(fg)) - np.searchsorted(fg, fg)
+        early = place < 9
+        first = _group_median(fy[early], fg[early], k)
+        first[kind] = _counter_start(fy, fg, head, fit, drift, k)[kind]
+    z, shift = _filter(y, bad, n, start, drift, q, r, first)
+    shift[z == 0] = 0
+    z = np.where(shift > 0, 0.0, z)
+    # end of a shard: too few readings left to see whether a change lasts; five that agree are taken as lasting
+    scale = np.clip(1.4826 * _group_median(np.abs(z[ok]), ug[ok], k, 1.0), 0.7, 3.0)
+    z = np.clip(z / scale[ug], -1e30, 1e30)
+    z[(n < 8)[ug]] = 0.0
+    # a fall of a counter to about its usual step is a restart, even with few readings after it
+    z[kind[ug] & (uv >= 0) & (z < 0) & (uv <= 8 * np.abs(drift[ug]))] = 0.0
+    # vanishing innovation variance
+    tol = 0.02 * np.sqrt(v1)[ug]
+    still = np.zeros(len(uv), dtype=bool)
+    still[1:] = (ug[1:] == ug[:-1]) & (np.abs(uv[1:] - uv[:-1]) <= np.minimum(np.where(log[ug], tol * np.abs(uv), tol), 1e-3 * np.abs(uv) + 1e-9)[1:])
+    head_of = np.maximum.accumulate(np.where(~still, np.arange(len(uv)), 0)) if len(uv) else np.zeros(0, dtype=np.int64)
+    fresh_ts = np.ones(len(uv), dtype=np.int64)
+    fresh_ts[1:] = (ug[1:] != ug[:-1]) | (uts[1:] != uts[:-1])
+    length = np.bincount(head_of, weights=fresh_ts, minlength=len(uv)) if len(uv) else np.zeros(0)
+    in_run = length[head_of] >= FROZEN_RUN
+    # a series that often repeats its value by nature is not frozen when it does so ten times
+    outside = np.bincount(ug, weights=~in_run, minlength=k)
+    repeats = np.bincount(ug, weights=still & ~in_run, minlength=k) / np.maximum(outside, 1)
+    natural = (repeats ** (FROZEN_RUN - 1) * np.maximum(n, 1) > 0.01) | (outside < 8)
+    frozen = in_run & ~natural[ug] & ok
+    return z[back], frozen[back]
+
+
+def _counter_start(fy: np.ndarray, fg: np.ndarray, head: np.ndarray, fit: np.ndarray, drift: np.ndarray, k: int) -> np.ndarray:
+    """Level before a counter's first reading: the median of the first five, each taken back by its place."""
+    place = np.arange(len(fg)) - np.searchsorted(fg, fg)
+    early = place < 5
+    return _group_median(fy[early] - drift[fg[early]] * (place[early] + 1), fg[early], k)
+
+
+_OUT = pa.schema([("sample_id", pa.int64()), ("m", pa.int64()), ("z", pa.float32()), ("sure", pa.bool_()), ("hist", pa.list_(pa.int64()))])
+
+
+def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Readings sorted by shard -> candidates, sure cases and histograms; works on whole shards, some at a time."""
+
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+        h1, h2, sh = col("h1"), col("h2"), col("shard")
+        new = np.ones(len(h1), dtype=bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (sh[1:] != sh[:-1])
+        g = np.cumsum(new) - 1
+        imp, core, m, sid = col("impossible"), col("core"), col("m"), col("sample_id")
+        z, frozen = judge(g, col("ts"), col("value"), col("counter"), col("skewed"), imp)
+        size = np.abs(z)
+        sure = core & (imp | frozen)
+        keep = core & (sure | (size > GATE))
+        yield pa.record_batch([sid[keep], m[keep], z[keep].astype(np.float32), sure[keep], pa.nulls(int(keep.sum()), pa.list_(pa.int64()))], schema=_OUT)
+        names, of = np.unique(m, return_inverse=True)
+        bins = np.minimum(size * 2, _BINS - 1).astype(np.int64)
+        tally = np.bincount((of * _BINS + bins)[core], minlength=len(names) * _BINS).reshape(len(names), _BINS)
+        none = len(names)
+        yield pa.record_batch([pa.nulls(none, pa.int64()), names, pa.nulls(none, pa.float32()), pa.nulls(none, pa.bool_()), pa.array(tally.tolist(), pa.list_(pa.int64()))], schema=_OUT)
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= 300_000:
+            t = pa.Table.from_batches(held)
+            key = np.stack([t[c].combine_chunks().to_numpy() for c in ("h1", "h2", "shard")])
+            last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            if len(last):  # all but the last shard, which may go on
+                cut = int(last[-1]) + 1
+                yield from flush(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows = t.num_rows - cut
+    if held:
+        yield from flush(pa.Table.from_batches(held))
+
+
+def _judged(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
+    """Candidates (z), sure cases and histograms of all shards, written once to the shared folder."""
+    rows = _readings(samples, metric_info)
+    skewed = F.coalesce("skewed", F.lit(False)).alias("skewed")
+    rows = join_small(rows, _profile(rows), "m", "left").select("sample_id", "ts", "value", "h1", "h2", "m", "counter", skewed, "impossible")
+    parts = shuffle_width(samples.sparkSession)
+    cut = _shards(rows, SHARD_ROWS, HALO_ROWS).repartition(parts, "h1", "h2", "shard").sortWithinPartitions("h1", "h2", "shard", "ts")
+    return stored(cut.mapInArrow(_judge_batches, "sample_id bigint, m bigint, z float, sure boolean, hist array<bigint>"), "spikes")
+
+
+def _gates(judged: DataFrame) -> DataFrame:
+    """Per metric the gate: GATE, or wider where the metric's usual innovations reach further."""
+    bins = judged.where("hist IS NOT NULL").select("m", F.posexplode("hist").alias("bin", "n")).groupBy("m", "bin").agg(F.sum("n").alias("n"))
+    below = F.sum("n").over(W.partitionBy("m").orderBy("bin"))
+    reach = bins.select("m", "bin", (below / F.sum("n").over(W.partitionBy("m"))).alias("share")).where(F.col("share") >= USUAL_SHARE)
+    return reach.groupBy("m").agg(F.greatest(F.lit(GATE), F.lit(USUAL_MARGIN) * (F.min("bin") + 1) / 2).alias("gate"))
+
+
+def scored_rows(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
+    """(sample_id, z, sure, gate) of every row whose innovation passes the basic gate or that is a sure case."""
+    judged = _judged(samples, metric_info)
+    return join_small(judged.where("sample_id IS NOT NULL"), _gates(judged), "m", "left").select("sample_id", "z", "sure", "gate")
+
+
+def faulty_rows(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
+    """The sample_id of every faulty reading.
+
+    Rows with is_deleted true, a NULL or NaN value or a NULL ts are no readings. A repeated delivery gets the verdict of its
+    reading. Metrics without an entry are gauges without bounds. A series of fewer than 8 readings can only be faulty
+    by its unit's bounds. An empty table gives no rows.
+    """
+    return scored_rows(samples, metric_info).where("sure OR abs(z) > gate").select("sample_id")
