@@ -35,8 +35,9 @@ BUCKET_MS = 600_000
 SHIFT_RUN = 7
 #: Equal readings that make a frozen stretch.
 FROZEN_RUN = 10
-#: Gate in standard deviations, and the share of a metric's readings whose innovations count as usual.
+#: Gate of the filter and least gate of the report in standard deviations, and the share of a metric's readings whose innovations count as usual.
 GATE = 6.0
+REPORT_GATE = 6.5
 USUAL_SHARE = 0.985
 USUAL_MARGIN = 1.4
 #: What a unit can measure. Units not named are unbounded.
@@ -184,8 +185,8 @@ def _filter(y: np.ndarray, skip: np.ndarray, n: np.ndarray, start: np.ndarray, d
         fine = np.abs(e) <= GATE
         gain = np.where(use & fine, var / s, 0.0)
         m[:a] = pred + gain * dev
-        # a withheld update lets the uncertainty grow, but not without end
-        p[:a] = np.minimum(var * (1 - gain), r[:a] + 16 * q[:a])
+        # the state waits while updates are withheld: a widening gate would let the rest of a spike in
+        p[:a] = np.where(use & fine, var * (1 - gain), p[:a])
         off = use & ~fine
         if off.any():
             j = np.flatnonzero(off)
@@ -258,16 +259,7 @@ def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, ske
         early = place < 9
         first = _group_median(fy[early], fg[early], k)
         first[kind] = _counter_start(fy, fg, head, fit, drift, k)[kind]
-    z, shift = _filter(y, bad, n, start, drift, q, r, first)
-    shift[z == 0] = 0
-    z = np.where(shift > 0, 0.0, z)
-    # end of a shard: too few readings left to see whether a change lasts; five that agree are taken as lasting
-    scale = np.clip(1.4826 * _group_median(np.abs(z[ok]), ug[ok], k, 1.0), 0.7, 3.0)
-    z = np.clip(z / scale[ug], -1e30, 1e30)
-    z[(n < 8)[ug]] = 0.0
-    # a fall of a counter to about its usual step is a restart, even with few readings after it
-    z[kind[ug] & (uv >= 0) & (z < 0) & (uv <= 8 * np.abs(drift[ug]))] = 0.0
-    # vanishing innovation variance
+    # vanishing innovation variance; such readings are withheld from the filter like any fault
     tol = 0.02 * np.sqrt(v1)[ug]
     still = np.zeros(len(uv), dtype=bool)
     still[1:] = (ug[1:] == ug[:-1]) & (np.abs(uv[1:] - uv[:-1]) <= np.minimum(np.where(log[ug], tol * np.abs(uv), tol), 1e-3 * np.abs(uv) + 1e-9)[1:])
@@ -281,6 +273,15 @@ def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, ske
     repeats = np.bincount(ug, weights=still & ~in_run, minlength=k) / np.maximum(outside, 1)
     natural = (repeats ** (FROZEN_RUN - 1) * np.maximum(n, 1) > 0.01) | (outside < 8)
     frozen = in_run & ~natural[ug] & ok
+    z, shift = _filter(y, bad | frozen, n, start, drift, q, r, first)
+    z = np.where(shift > 0, 0.0, z)
+    scale = np.clip(1.4826 * _group_median(np.abs(z[ok]), ug[ok], k, 1.0), 0.7, 3.0)
+    z = np.clip(z / scale[ug], -1e30, 1e30)
+    z[(n < 8)[ug]] = 0.0
+    # steps of counters have heavier tails than noise has: their innovations count half
+    z[kind[ug]] /= 2
+    # a fall of a counter to about its usual step is a restart, even with few readings after it
+    z[kind[ug] & (uv >= 0) & (z < 0) & (uv <= 8 * np.abs(drift[ug]))] = 0.0
     return z[back], frozen[back]
 
 
@@ -346,11 +347,11 @@ def _judged(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
 
 
 def _gates(judged: DataFrame) -> DataFrame:
-    """Per metric the gate: GATE, or wider where the metric's usual innovations reach further."""
+    """Per metric the gate: REPORT_GATE, or wider where the metric's usual innovations reach further."""
     bins = judged.where("hist IS NOT NULL").select("m", F.posexplode("hist").alias("bin", "n")).groupBy("m", "bin").agg(F.sum("n").alias("n"))
     below = F.sum("n").over(W.partitionBy("m").orderBy("bin"))
     reach = bins.select("m", "bin", (below / F.sum("n").over(W.partitionBy("m"))).alias("share")).where(F.col("share") >= USUAL_SHARE)
-    return reach.groupBy("m").agg(F.greatest(F.lit(GATE), F.lit(USUAL_MARGIN) * (F.min("bin") + 1) / 2).alias("gate"))
+    return reach.groupBy("m").agg(F.greatest(F.lit(REPORT_GATE), F.lit(USUAL_MARGIN) * (F.min("bin") + 1) / 2).alias("gate"))
 
 
 def scored_rows(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
