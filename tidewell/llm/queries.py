@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import distinct, packing, percentiles
+from tidewell.llm import distinct, leaks, packing, percentiles
 from tidewell.model import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,10 @@ def _p8(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES["p8_packing"] = _p8
+
+
+def _p9(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items"))
+
+
+QUERIES["p9_found"] = _p9
