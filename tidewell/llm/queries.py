@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import distinct, leaks, packing, percentiles
+from tidewell.llm import distinct, leaks, packing, percentiles, pii
 from tidewell.model import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,17 @@ def _p9(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES["p9_found"] = _p9
+
+
+def _p10(spark: SparkSession, root: str) -> DataFrame:
+    return pii.find_personal(read_table(spark, root, "documents"))
+
+
+QUERIES["p10_found"] = _p10
+
+
+def _p10_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return pii.redact(read_table(spark, root, "documents"))
+
+
+QUERIES["p10_redacted"] = _p10_redacted
