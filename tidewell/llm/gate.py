@@ -10,7 +10,7 @@ import numpy as np
 
 BITS = 18
 WINDOW = 12
-MARGIN = 32
+MARGIN = 28
 #: Weights are kept as bytes of this many steps a unit.
 STEPS = 24
 

@@ -59,7 +59,8 @@ def flow(text: str, x0: np.ndarray | None, y0: np.ndarray | None) -> list[Piece]
     sorted_x = x0[order]
     column = np.zeros(len(lines), dtype=np.int64)
     column[order] = np.concatenate(([0], np.cumsum(np.diff(sorted_x) > COLUMN_STEP)))
-    left = np.array([np.percentile(x0[column == c], 25) for c in range(int(column.max()) + 1)])
+    first = np.searchsorted(column[order], np.arange(int(column.max()) + 2))
+    left = sorted_x[first[:-1] + (np.diff(first) - 1) // 4]
     advert = x0 - left[column] >= INDENT
     return [(at[i], at[i] + len(lines[i]), bool(advert[i])) for i in np.lexsort((y0, column)) if lines[i].strip()]
 

@@ -9,6 +9,7 @@ an end, and one Viterbi pass over the whole stretch decides, so no value is cut
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ WINDOW = 160
 OVERLAP = 48
 #: Windows and stretches that advance side by side.
 SIDE = 384
+#: Emission margin to "outside" below which a whole stretch is outside without decoding.
+NEAR = -3.0
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 Span = tuple[str, list[tuple[int, int]]]
 
@@ -68,8 +71,9 @@ def tag_stretches(pieces: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np
             before = 0 if a == 0 else (max(p for q, p in _windows_of(n) if q < a) - a) // 2
             after = z - a if z == n else z - a - (z - min(q for q, _ in _windows_of(n) if q > a)) // 2
             scores[k][a + before : a + after] = e[before:after, b]
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(pieces)
-    order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+    out = [np.zeros(len(c), dtype=np.int8) for c in pieces]
+    # where no tag comes near to "outside" no path can leave it
+    order = sorted((k for k, e in enumerate(scores) if (e[:, 1:].max(axis=1) - e[:, 0]).max() > NEAR), key=lambda k: len(pieces[k]))
     at = 0
     while at < len(order):
         # similar lengths together, and not too many long ones
@@ -97,10 +101,18 @@ _DIGITS[[ord(c) for c in "0123456789OoQIlZzSsBbGgq|"]] = True
 _LEAST = {"phone": 6, "id_number": 5, "address": 1}
 
 
+#: What stands before a name or an address but is no part of it.
+_LEAD = {
+    "person": re.compile(r"(?:(?:Mr|Mrs|Miss|Ms|Dr|Ald|Rev|Capt|Prof|Herrn?|Frau|Fräulein|Pfarrer|Mme|Mlle|Madame|Monsieur)\b\.?[\s,]+)+", re.I),
+    "email": re.compile(r"(?:e-?mail|courriel|mail an|mail|write to|écrire à)[\s:.]+(?=\S)", re.I),
+}
+
+
 def spans(texts: list[str | None], layout: list, w: dict[str, np.ndarray]) -> list[list[Span]]:
     """Per page: (kind, ranges in the stored text) of each value, in order of its first character."""
     kept: list[tuple[int, int, np.ndarray]] = []
     order: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    read_of: dict[int, str] = {}
     for d, (text, (x0, y0)) in enumerate(zip(texts, layout, strict=True)):
         if not text:
             continue
@@ -108,6 +120,7 @@ def spans(texts: list[str | None], layout: list, w: dict[str, np.ndarray]) -> li
         if not read:
             continue
         order[d] = (here, there)
+        read_of[d] = read
         c = tagger.codes(read)
         kept += [(d, a, c[a:z]) for a, z in gate.stretches(c, w["gate"], float(w["threshold"]))]
     out: list[list[Span]] = [[] for _ in texts]
@@ -121,6 +134,8 @@ def spans(texts: list[str | None], layout: list, w: dict[str, np.ndarray]) -> li
             e = int(s) + 1
             while e < len(tags) and tags[e] == tags[s] + 1:
                 e += 1
+            if kind in _LEAD and (m := _LEAD[kind].match(read_of[d], a + s, a + e)):
+                s = s + m.end() - m.start()
             if _DIGITS[c[s:e]].sum() < _LEAST.get(kind, 0) or e - s < 3:
                 continue
             first, last = np.searchsorted(here, a + s, "right") - 1, np.searchsorted(here, a + e - 1, "right") - 1

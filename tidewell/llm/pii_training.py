@@ -1,4 +1,4 @@
-"""Trains the tagger of personal information: ``python -m tidewell.llm.pii_training DOCUMENTS.parquet OUT.npz``.
+"""Trains the tagger of personal information: ``python -m tidewell.llm.pii_training OUT.npz SECONDS DOCUMENTS.parquet...``.
 
 Labelled windows come from a bounded sample of well-read pages (``MAX_PAGES``); scanner damage is put into them: misread
 letters at a rate drawn per window, line breaks with and without marks, and capitals. Worker processes share the
@@ -14,13 +14,13 @@ import time
 from collections import Counter
 
 import numpy as np
-import pyarrow.parquet as pq
+import pyarrow.dataset as ds
 
 from tidewell.llm import gate, pii_labels, tagger
 from tidewell.llm.layout import boxes, flow
 
 #: Bound on the pages that the classifier is fitted on, and the share of known words that makes a page well read.
-MAX_PAGES = 8_000
+MAX_PAGES = 16_000
 WELL_READ = 0.98
 WINDOW = 144
 #: What scanners take letters for, the commoner first.
@@ -37,7 +37,7 @@ MARKS = ("-", "-", "‐", "¬", "­", "")
 def flows(path: str, most: int) -> list[str]:
     """Pages in reading order, adverts after the articles."""
     out = []
-    for b in pq.ParquetFile(path).iter_batches(2000, columns=["text", "lines"]):
+    for b in ds.dataset(path).to_batches(columns=["text", "lines"], batch_size=2000, use_threads=False):
         for text, (x, y) in zip(b.column(0).to_pylist(), boxes(b.column(1)), strict=True):
             if text:
                 parts: tuple[list[str], list[str]] = ([], [])
@@ -153,7 +153,7 @@ def _views(flat: np.ndarray, names: list[str], shapes: list[tuple]) -> dict[str,
     return out
 
 
-def train(pages: list, seconds: float, workers: int = 8, size: int = 96, seed: int = 0, rate: float = 4e-3, hidden: int = tagger.HIDDEN) -> dict[str, np.ndarray]:
+def train(pages: list, seconds: float, workers: int = 8, size: int = 96, seed: int = 0, rate: float = 5e-3, hidden: int = tagger.HIDDEN) -> dict[str, np.ndarray]:
     """Adam with a cosine schedule over ``seconds``."""
     first = tagger.new_weights(seed, hidden)
     names, shapes = list(first), [v.shape for v in first.values()]
@@ -214,14 +214,15 @@ def fit_gate(pages: list, held: list, seed: int = 3) -> tuple[np.ndarray, float]
 
 
 def main(args: list[str]) -> None:
-    pages, _ = labelled(flows(args[0], MAX_PAGES))
+    out, seconds, *paths = args
+    pages = [p for path in paths for p in labelled(flows(path, MAX_PAGES // len(paths)))[0]]
     held, fit = pages[::20], [p for i, p in enumerate(pages) if i % 20]
     print(len(fit), "pages to fit,", len(held), "held out", Counter(k for p in pages for *_, k in p[3]), flush=True)
     weights, threshold = fit_gate(fit, held)
     share = [sum(z - a for a, z in gate.stretches(tagger.codes(p[0]), weights, threshold)) for p in held]
     print(f"gate {threshold:.3f}: {sum(share) / sum(len(p[0]) for p in held):.3f} of the text is read", flush=True)
-    w = train(fit, float(args[2]) if len(args) > 2 else 480)
-    np.savez_compressed(args[1], gate=weights, threshold=np.float32(threshold), **{k: v.astype(np.float16) for k, v in w.items()})
+    w = train(fit, float(seconds))
+    np.savez_compressed(out, gate=weights, threshold=np.float32(threshold), **{k: v.astype(np.float16) for k, v in w.items()})
     rng = np.random.default_rng(7)
     x, y = batch(held, 2000, rng)
     w = {k: v.astype(np.float16).astype(np.float32) for k, v in w.items()}

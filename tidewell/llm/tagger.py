@@ -15,7 +15,7 @@ K = len(TAGS)
 #: Character classes: code points below LIMIT have one each, the rest share a few.
 LIMIT = 384
 VOCAB = LIMIT + 6
-HIDDEN = 48
+HIDDEN = 40
 
 
 def _rest() -> np.ndarray:
@@ -73,19 +73,21 @@ def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None)
     h = wh.shape[0]
     out = np.empty((steps, batch, h), dtype=np.float32)
     s, c = np.zeros((batch, h), dtype=np.float32), np.zeros((batch, h), dtype=np.float32)
-    z = np.empty((batch, 4 * h), dtype=np.float32)
+    z, given, added, th = np.empty((batch, 4 * h), dtype=np.float32), np.empty((batch, 4 * h), dtype=np.float32), np.empty((batch, h), dtype=np.float32), np.empty((batch, h), dtype=np.float32)
     for t in range(steps):
         np.matmul(s, wh, out=z)
-        z += wx[x[t]]
+        np.take(wx, x[t], axis=0, out=given, mode="clip")
+        z += given
         _gates(z, h)
-        before = c
-        c = z[:, h : 2 * h] * c
-        c += z[:, :h] * z[:, 3 * h :]
-        th = np.tanh(c)
+        before = c.copy() if keep is not None else None
+        c *= z[:, h : 2 * h]
+        np.multiply(z[:, :h], z[:, 3 * h :], out=added)
+        c += added
+        np.tanh(c, out=th)
         s = out[t]
         np.multiply(z[:, 2 * h : 3 * h], th, out=s)
         if keep is not None:
-            keep.append((z.copy(), before, th))
+            keep.append((z.copy(), before, th.copy()))
     return out
 
 
