@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-class CommitConflict(RuntimeError):
-    """Another writer committed this version first."""
+from tidewell.sources.files import Folder
 
 
 class ChangeTable:
@@ -27,17 +25,12 @@ class ChangeTable:
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], version: list[str], buckets: int = 64, deleted: str = "is_deleted"):
         self.spark, self.path, self.keys, self.version, self.buckets, self.deleted = spark, path.rstrip("/"), keys, version, buckets, deleted
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.folder = Folder(spark, self.path)
 
     # --- manifests -------------------------------------------------------------------------------------------------
 
     def versions(self) -> list[int]:
-        folder = self._Path(f"{self.path}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        return self.folder.numbers("manifests")
 
     def manifest(self, version: int | None = None) -> dict:
         """The manifest of a version (default: the newest); an empty one before the first commit."""
@@ -47,24 +40,7 @@ class ChangeTable:
         at = known[-1] if version is None else version
         if at not in known:
             raise ValueError(f"no version {at}")
-        stream = self._fs.open(self._Path(f"{self.path}/manifests/{at:012d}.json"))
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return json.loads(text)
-
-    def _commit(self, manifest: dict) -> None:
-        """Publish by a rename that fails if the version is there already."""
-        staged = self._Path(f"{self.path}/staged/{uuid.uuid4().hex}")
-        target = self._Path(f"{self.path}/manifests/{manifest['version']:012d}.json")
-        self._fs.mkdirs(target.getParent())
-        out = self._fs.create(staged, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if self._fs.exists(target) or not self._fs.rename(staged, target):
-            self._fs.delete(staged, False)
-            raise CommitConflict(f"version {manifest['version']} of {self.path} exists")
+        return self.folder.read(f"manifests/{at:012d}.json")
 
     # --- writing ---------------------------------------------------------------------------------------------------
 
@@ -90,7 +66,8 @@ class ChangeTable:
             raise ValueError(f"the table has {base['n_buckets']} buckets")
         columns = changes.columns
         new = self._newest(changes).withColumn("bucket", self.bucket_of())
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        name = uuid.uuid4().hex
+        folder = f"{self.path}/data/{name}"
         held = base["buckets"]
         if held:
             # the touched buckets are at most ``buckets`` numbers; the routed changes are kept for the merge
@@ -104,8 +81,7 @@ class ChangeTable:
         out.write.partitionBy("bucket").parquet(folder)
         if held:
             new.unpersist()
-        root = self._Path(folder)
-        written = {s.getPath().getName()[7:] for s in self._fs.listStatus(root) if s.getPath().getName().startswith("bucket=")}
+        written = {n[7:] for n in self.folder.names(f"data/{name}") if n.startswith("bucket=")}
         if not written:
             return base
         manifest = {
@@ -115,7 +91,7 @@ class ChangeTable:
             "buckets": held | dict.fromkeys(written, folder),
             "rewritten": len(written),
         }
-        self._commit(manifest)
+        self.folder.put_new(f"manifests/{manifest['version']:012d}.json", manifest)
         return manifest
 
     def _merge(self, new: DataFrame, old: DataFrame) -> DataFrame:
@@ -159,11 +135,6 @@ class ChangeTable:
         kept = known[-keep:] if keep > 0 else known[-1:]
         live = {f for v in kept for f in self.manifest(v)["buckets"].values()}
         for v in set(known) - set(kept):
-            self._fs.delete(self._Path(f"{self.path}/manifests/{v:012d}.json"), False)
-        root, n = self._Path(f"{self.path}/data"), 0
-        if self._fs.exists(root):
-            names = {f.rsplit("/", 1)[1] for f in live}
-            for s in self._fs.listStatus(root):
-                if s.getPath().getName() not in names:
-                    n += self._fs.delete(s.getPath(), True)
-        return n
+            self.folder.delete(f"manifests/{v:012d}.json")
+        names = {f.rsplit("/", 1)[1] for f in live}
+        return sum(self.folder.delete(f"data/{n}") for n in self.folder.names("data") if n not in names)
