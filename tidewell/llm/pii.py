@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from tidewell.llm import gate, tagger
 from tidewell.llm.layout import boxes, flow
-from tidewell.llm.pii_labels import KINDS
+from tidewell.llm.pii_labels import KINDS, language
 
 WINDOW = 160
 OVERLAP = 48
@@ -108,6 +108,10 @@ _LEAD = {
 }
 
 
+#: A title in French, an initial elsewhere.
+_MONSIEUR = re.compile(r"M\.?\s+")
+
+
 def spans(texts: list[str | None], layout: list, w: dict[str, np.ndarray]) -> list[list[Span]]:
     """Per page: (kind, ranges in the stored text) of each value, in order of its first character."""
     kept: list[tuple[int, int, np.ndarray]] = []
@@ -136,6 +140,8 @@ def spans(texts: list[str | None], layout: list, w: dict[str, np.ndarray]) -> li
                 e += 1
             if kind in _LEAD and (m := _LEAD[kind].match(read_of[d], a + s, a + e)):
                 s = s + m.end() - m.start()
+            if kind == "person" and (m := _MONSIEUR.match(read_of[d], a + s, a + e)) and language(read_of[d]) == "fr":
+                s = s + m.end() - m.start()
             if _DIGITS[c[s:e]].sum() < _LEAST.get(kind, 0) or e - s < 3:
                 continue
             first, last = np.searchsorted(here, a + s, "right") - 1, np.searchsorted(here, a + e - 1, "right") - 1
