@@ -44,10 +44,11 @@ def fit(windows: list[tuple[np.ndarray, np.ndarray]], lead: int = 8) -> np.ndarr
 
 
 def scores(c: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Mean weight of the WINDOW 4-grams that begin at each character."""
+    """Mean weight of the WINDOW 4-grams that begin at each character (fewer at the end)."""
     total = np.cumsum(np.concatenate(([0], weights[features(c)].astype(np.int32))))
-    end = np.minimum(np.arange(len(c)) + WINDOW, len(c))
-    return (total[end] - total[:-1]) / (WINDOW * STEPS)
+    begin = np.arange(len(c))
+    end = np.minimum(begin + WINDOW, len(c))
+    return (total[end] - total[:-1]) / ((end - begin) * STEPS)
 
 
 def stretches(c: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[int, int]]:
