@@ -5,10 +5,14 @@ The ring is a dimension table of nodes x virtual nodes; it is broadcast only beh
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.runtime import join_small
 
@@ -33,33 +37,33 @@ def owners_of(key: str, nodes: list[str], copies: int) -> list[str]:
 
 
 def with_owners(keys: DataFrame, nodes: list[str], replicas: int = 2) -> DataFrame:
-    """Add ``owners`` (array, clockwise) to distinct rows of a ``partition_key`` column.
+    """Add ``owners`` (array, clockwise) to rows with a ``partition_key``; give it distinct keys.
 
-    The nodes' rings are one constant array; each row ranks the nodes by their clockwise distance with array
-    functions, so there is no join, no shuffle and no pair of rows. ``replicas <= 0`` means 2; each key has
-    ``replicas + 1`` owners, or all nodes if there are fewer.
+    Every batch of keys is looked up in the sorted ring (a few hundred numbers, part of the task), so there is no
+    join, no shuffle and no pair of rows. ``replicas <= 0`` means 2; each key has ``replicas + 1`` owners, or all nodes
+    if there are fewer. A NULL key has NULL owners.
     """
     copies = (replicas if replicas > 0 else 2) + 1
-    unique = list(dict.fromkeys(nodes))
-    if not unique:
-        return keys.withColumn("owners", F.array().cast("array<string>"))
-    per_node = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("node"),
-                F.array(*[F.lit(h) for h in sorted(crc32(f"{n}-{i}".encode()) for i in range(VIRTUAL_NODES))]).alias("at"),
-            )
-            for n in unique
-        ]
-    )
-    h = F.crc32("partition_key")
-    distance = F.transform(
-        per_node,
-        lambda p: F.struct(
-            F.array_min(F.transform(p["at"], lambda x: F.pmod(x - h, F.lit(2**32)))).alias("far"), p["node"].alias("node")
-        ),
-    )
-    return keys.withColumn("owners", F.slice(F.transform(F.array_sort(distance), lambda s: s["node"]), 1, copies))
+    points = sorted((crc32(f"{n}-{i}".encode()), n) for n in dict.fromkeys(nodes) for i in range(VIRTUAL_NODES))
+    hashes, names = [h for h, _ in points], [n for _, n in points]
+    everyone = len(set(names))
+
+    def walk(key: str | None) -> list[str] | None:
+        if key is None:
+            return None
+        at, found = bisect_left(hashes, crc32(key.encode())), {}
+        for i in range(len(names)):
+            found.setdefault(names[(at + i) % len(names)])
+            if len(found) == min(copies, everyone):
+                break
+        return list(found)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners = [walk(k) for k in b.column(b.schema.get_field_index("partition_key")).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(owners, pa.list_(pa.string()))], names=[*b.schema.names, "owners"])
+
+    return keys.mapInArrow(go, T.StructType([*keys.schema.fields, T.StructField("owners", T.ArrayType(T.StringType()))]))
 
 
 def partition_for_time(df: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
