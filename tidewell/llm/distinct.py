@@ -79,8 +79,18 @@ def distinct_counts(bitmaps: DataFrame, dims: list[str], bits: int = BITS) -> Da
     Columns: grouping, dims, set_bits, estimate, rel_error, saturated. A NULL dim that is not summed over is a
     value of its own. Empty input gives no rows.
     """
-    words = bitmaps.cube(*dims, "word").agg(F.bit_or("mask").alias("mask"), F.grouping_id(*dims, "word").alias("_g")).where("_g % 2 = 0")
-    n = words.withColumn("grouping", F.expr("cast(_g div 2 as int)")).groupBy("grouping", *dims).agg(F.sum(F.bit_count("mask")).cast("bigint").alias("set_bits"))
+    k = len(dims)
+    sets = F.array(
+        *[
+            F.struct(F.lit(g).alias("grouping"), *[(F.lit(None).cast(bitmaps.schema[c].dataType) if g >> (k - 1 - i) & 1 else F.col(c)).alias(c) for i, c in enumerate(dims)])
+            for g in range(2**k)
+        ]
+    )
+    # the bitmaps move once, by word: all groups of a word are then in one task, every union of every combination is
+    # local, and only bit counts, one per group and task, move again
+    spread = bitmaps.repartition("word").select("word", "mask", F.explode(sets).alias("_s"))
+    words = spread.select("_s.*", "word", "mask").groupBy("grouping", *dims, "word").agg(F.bit_or("mask").alias("mask"))
+    n = words.groupBy("grouping", *dims).agg(F.sum(F.bit_count("mask")).cast("bigint").alias("set_bits"))
     value, error, full = estimate(F.col("set_bits"), bits)
     return n.select("grouping", *dims, "set_bits", value.alias("estimate"), error.alias("rel_error"), full.alias("saturated"))
 
