@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import model
+from tidewell.api import Engine
+from tidewell.functions import bloom
 from tidewell.functions.durations import instant_ms
 from tidewell.operators import aggregate as A
 from tidewell.operators import changes, heavykeys, lateness, placement, regrid, spikes
@@ -20,6 +22,8 @@ from tidewell.operators.resolve import resolve_latest, visible
 from tidewell.operators.scan import file_stats, list_series, overlaps, scan_series
 from tidewell.plans.builder import build
 from tidewell.plans.language import parse
+from tidewell.runtime import scratch_path
+from tidewell.sources.store import SampleStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -207,6 +211,68 @@ register(
     ).select("series_key", "ts", "value", "txn_id")
 )
 
+# --- the store: every query writes a store of its own into the shared folder ---------------------------------------
+
+
+def _store(spark: SparkSession, root: str, commits: int = 3) -> SampleStore:
+    """The events in several commits; the same points are rewritten by a last commit with doubled values for one type."""
+    store = SampleStore(spark, scratch_path(spark, "store"), bucket_ms=7 * DAY_MS)
+    rows = read_events(spark, root)
+    for i in range(commits):
+        store.write(rows.where(F.pmod("user_id", F.lit(commits)) == i))
+    store.write(rows.where("metric = 'click'").withColumn("value", F.col("value") * 2))
+    return store
+
+
+def read_events(spark: SparkSession, root: str) -> DataFrame:
+    labels = F.create_map(F.lit("user"), F.col("user_id").cast("string"))
+    return model.read_table(spark, root, "events").select(F.col("event_type").alias("metric"), labels.alias("labels"), model.time_ms().alias("ts"), "value", "user_id")
+
+
+_STORED = f"(SELECT m || '{{user=\"' || u || '\"}}' AS series_key, t AS ts, m, arg_max(v, e) AS v FROM {EVENTS} GROUP BY 1, 2, 3)"
+_DOUBLED = f"SELECT series_key, ts, CASE WHEN m = 'click' THEN v * 2 ELSE v END AS value FROM {_STORED}"
+_COLS = ["series_key", "ts", "value"]
+register("store_read", _DOUBLED)(lambda spark, root: _store(spark, root).read().select(_COLS))
+register("store_time_travel", f"SELECT series_key, ts, v AS value FROM {_STORED}")(lambda spark, root: _store(spark, root).read(version=3).select(_COLS))
+register("store_query_range", f"SELECT series_key, max(ts) AS ts, CAST(count(value) AS DOUBLE) AS value FROM ({_DOUBLED}) WHERE series_key = 'view{{user=\"7\"}}' AND ts BETWEEN {START} AND {END} GROUP BY 1")(
+    lambda spark, root: Engine(_store(spark, root), clock=lambda: NOW_MS).query('view{user="7"} [2024-01-10:2024-01-20] COUNT')
+)
+
+
+@register("store_delete", f"SELECT * FROM ({_DOUBLED}) WHERE NOT (series_key = 'click{{user=\"7\"}}' AND ts BETWEEN {START} AND {END})")
+def _store_delete(spark: SparkSession, root: str) -> DataFrame:
+    store = _store(spark, root)
+    store.delete('click{user="7"}', START, END)
+    return store.read().select(_COLS)
+
+
+@register("store_compact", f"SELECT * FROM ({_DOUBLED}) WHERE NOT (series_key = 'click{{user=\"7\"}}' AND ts BETWEEN {START} AND {END})")
+def _store_compact(spark: SparkSession, root: str) -> DataFrame:
+    """After compaction of both strategies nothing but the files has changed, and no superseded row is left."""
+    store = _store(spark, root)
+    store.delete('click{user="7"}', START, END)
+    store.compact_windows(window_ms=10**13, least=2)
+    store.compact_level(1)
+    return store.snapshot().select(_COLS)
+
+
+@register("store_retention", f"SELECT * FROM ({_DOUBLED}) WHERE ts // {7 * DAY_MS} >= {NOW_MS - 14 * DAY_MS} // {7 * DAY_MS}")
+def _store_retention(spark: SparkSession, root: str) -> DataFrame:
+    """Whole files of past weeks go; the week that holds the cut-off stays."""
+    store = _store(spark, root)
+    store.expire(NOW_MS, 14 * DAY_MS)
+    return store.read().where(F.expr(f"ts div {7 * DAY_MS}L") >= (NOW_MS - 14 * DAY_MS) // (7 * DAY_MS)).select(_COLS)
+
+
+@register("bloom_membership", "SELECT count(DISTINCT o_custkey) AS members FROM orders")
+def _bloom(spark: SparkSession, root: str) -> DataFrame:
+    """Customers that pass a filter of the order's customers and are among them: no member may be missing."""
+    orders = model.read_table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    bits, hashes = bloom.size(100_000)
+    passed = bloom.might_contain(orders.distinct(), "c_custkey", bloom.build(orders, "c_custkey", bits, hashes), bits, hashes)
+    return passed.agg(F.count(F.lit(1)).alias("members"))
+
+
 # --- training-data operators -----------------------------------------------------------------------------------------
 
 
