@@ -78,9 +78,10 @@ def learn_lists(texts: list[str]) -> Lists:
 def _person(forenames: tuple[str, ...], title: str) -> re.Pattern:
     fore = "|".join(map(re.escape, forenames))
     up = "|".join(map(re.escape, [w.upper() for w in forenames]))
+    initials = (r"(?!M\. )" if title == _TITLES["fr"] else "") + _INITIALS
     caps = r"[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'’]{2,}(?:-[A-ZÀ-ÖØ-Þ'’]{2,})?"
     return re.compile(
-        rf"(?:(?P<t1>{title}) )?(?P<a>(?:{fore}) {_CAP}|(?:{up}) {caps}|\b{_INITIALS}{_CAP}|{caps}, (?:(?:{fore})\b|(?:{up})\b|{_INITIALS}))"
+        rf"(?:(?P<t1>{title}) )?(?P<a>(?:{fore}) {_CAP}|(?:{up}) {caps}|\b{initials}{_CAP}|{caps}, (?:(?:{fore})\b|(?:{up})\b|{_INITIALS}))"
         rf"|(?P<t2>\b{title}) (?P<b>{_CAP})"
     )
 

@@ -1,5 +1,7 @@
 """Trains the tagger of personal information: ``python -m tidewell.llm.pii_training OUT.npz SECONDS DOCUMENTS.parquet...``.
 
+If OUT.npz exists, training goes on from its weights.
+
 Labelled windows come from a bounded sample of well-read pages (``MAX_PAGES``); scanner damage is put into them: misread
 letters at a rate drawn per window, line breaks with and without marks, and capitals. Worker processes share the
 weights and each works out the gradient of its own windows.
@@ -8,6 +10,7 @@ weights and each works out the gradient of its own windows.
 from __future__ import annotations
 
 import multiprocessing as mp
+import os
 import re
 import sys
 import time
@@ -106,6 +109,20 @@ def damage(text: str, tags: np.ndarray, rng: np.random.Generator) -> tuple[str,
     return "".join(chars), np.array(out, dtype=np.int64)
 
 
+def strayed(text: str, tags: np.ndarray, pages: list, rng: np.random.Generator) -> tuple[str, np.ndarray]:
+    """A window into which, at times, a line of another page has strayed, as where reading order went wrong."""
+    if rng.random() > 0.2:
+        return text, tags
+    ends = [i for i, ch in enumerate(text[:-1]) if ch == "\n" and not tags[i] and (not tags[i + 1] or tags[i + 1] % 2)]
+    other, their, good, _ = pages[rng.integers(len(pages))]
+    a = other.rfind("\n", 0, int(rng.integers(1, max(2, len(other))))) + 1
+    z = other.find("\n", a)
+    if not ends or z < 0 or not good[a:z].all() or (their[a] and their[a] % 2 == 0) or (z < len(other) and their[z]):
+        return text, tags
+    at = ends[rng.integers(len(ends))] + 1
+    return text[:at] + other[a : z + 1] + text[at:], np.concatenate((tags[:at], their[a : z + 1], tags[at:]))
+
+
 def batch(pages: list, size: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """``size`` damaged windows, half of them around a span."""
     xs, ys = [], []
@@ -120,7 +137,7 @@ def batch(pages: list, size: int, rng: np.random.Generator) -> tuple[np.ndarray,
         end = min(len(text), at + WINDOW + 20)
         if end - at < 20 or not good[at:end].all() or (tags[at] and tags[at] % 2 == 0):
             continue
-        t, y = damage(text[at:end], tags[at:end], rng)
+        t, y = damage(*strayed(text[at:end], tags[at:end], pages, rng), rng)
         x = tagger.codes(t)[:WINDOW]
         y = y[: len(x)]
         if len(x) < WINDOW:
@@ -153,9 +170,9 @@ def _views(flat: np.ndarray, names: list[str], shapes: list[tuple]) -> dict[str,
     return out
 
 
-def train(pages: list, seconds: float, workers: int = 8, size: int = 96, seed: int = 0, rate: float = 5e-3, hidden: int = tagger.HIDDEN) -> dict[str, np.ndarray]:
+def train(pages: list, seconds: float, workers: int = 8, size: int = 96, seed: int = 0, rate: float = 5e-3, hidden: int = tagger.HIDDEN, start_from: dict | None = None) -> dict[str, np.ndarray]:
     """Adam with a cosine schedule over ``seconds``."""
-    first = tagger.new_weights(seed, hidden)
+    first = start_from or tagger.new_weights(seed, hidden)
     names, shapes = list(first), [v.shape for v in first.values()]
     total = sum(v.size for v in first.values())
     ctx = mp.get_context("fork")
@@ -221,7 +238,11 @@ def main(args: list[str]) -> None:
     weights, threshold = fit_gate(fit, held)
     share = [sum(z - a for a, z in gate.stretches(tagger.codes(p[0]), weights, threshold)) for p in held]
     print(f"gate {threshold:.3f}: {sum(share) / sum(len(p[0]) for p in held):.3f} of the text is read", flush=True)
-    w = train(fit, float(seconds))
+    before = None
+    if os.path.exists(out):
+        with np.load(out) as f:
+            before = {k: f[k].astype(np.float32) for k in tagger.new_weights(0)}
+    w = train(fit, float(seconds), start_from=before, rate=3e-3 if before else 5e-3)
     np.savez_compressed(out, gate=weights, threshold=np.float32(threshold), **{k: v.astype(np.float16) for k, v in w.items()})
     rng = np.random.default_rng(7)
     x, y = batch(held, 2000, rng)
