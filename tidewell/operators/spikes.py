@@ -340,7 +340,8 @@ def _judged(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
     """Candidates (z), sure cases and histograms of all shards, written once to the shared folder."""
     rows = _readings(samples, metric_info)
     skewed = F.coalesce("skewed", F.lit(False)).alias("skewed")
-    rows = join_small(rows, _profile(rows), "m", "left").select("sample_id", "ts", "value", "h1", "h2", "m", "counter", skewed, "impossible")
+    profile = stored(_profile(rows), "profile")  # a row per metric; its size is checked before it is broadcast
+    rows = join_small(rows, profile, "m", "left").select("sample_id", "ts", "value", "h1", "h2", "m", "counter", skewed, "impossible")
     parts = shuffle_width(samples.sparkSession)
     cut = _shards(rows, SHARD_ROWS, HALO_ROWS).repartition(parts, "h1", "h2", "shard").sortWithinPartitions("h1", "h2", "shard", "ts")
     return stored(cut.mapInArrow(_judge_batches, "sample_id bigint, m bigint, z float, sure boolean, hist array<bigint>"), "spikes")
