@@ -83,6 +83,14 @@ def test_leaks(spark):
     assert found(spark, docs, items[1:4]) == [] and found(spark, docs, []) == [] and found(spark, [], items) == []
 
 
+def test_items_filed_often_and_shared_passages_leak(spark):
+    copies = [(i, ITEM, 1) for i in range(1, 21)]
+    assert found(spark, [(1, ITEM, None)], copies) == [(1, i) for i in range(1, 21)]
+    rest = [[f"{w}{i}x" for w in ("abbot", "birch", "cloud", "delta", "ember", "flint", "grove", "heron")] for i in range(20)]
+    sharing = [(i, " ".join(r[:4] + ITEM.split()[:15] + r[4:]), 1) for i, r in enumerate(rest)]
+    assert found(spark, [(1, FILL + " " + " ".join(ITEM.split()[:15]), None)], sharing) == [(1, i) for i in range(20)]
+
+
 def test_close_words_and_masks():
     assert leaks.close(leaks.fold("Braskdormstead"), leaks.fold("Bnaskdormstcad")) and leaks.close("abcdef", "abdef")
     assert not leaks.close("abcd", "abd") and not leaks.close(leaks.fold("Orvvignhaven"), leaks.fold("Orvvignburn"))

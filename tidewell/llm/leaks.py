@@ -28,8 +28,11 @@ MIN_WORDS = 15
 #: Of the words of a passage one in so many may be missing or exchanged.
 ONE_IN = 6
 MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4), (0, 2, 4))
-#: Seeds that more items share say nothing; the rest of such an item's seeds find it.
+#: Seeds that more items share are kept only for the passages that have too few others.
 MAX_SHARED = 12
+#: Seeds that a passage of MIN_WORDS keeps when any two of its words are lost; and how many seeds a word lies in at most.
+LEAST_SEEDS = 3
+_MOST_COVERING = sum(m[-1] + 1 for m in MASKS)
 #: Words of the page that may lie between two words of a passage (an advert that could not be told by its box).
 MAX_BETWEEN = 40
 #: Letters that scanners take for one another; accents are dropped.
@@ -68,54 +71,99 @@ def close(a: str, b: str) -> bool:
 
 
 class Index:
-    """Seeds and words of one block of items."""
+    """Seeds and words of one block of items; items of equal words are one entry with all their ids.
+
+    Seeds with a rare word that few entries share are kept for every entry. Where two of a passage's words may go such
+    that fewer than ``LEAST_SEEDS`` of those are left, all its seeds are kept, however common they are.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = []
         self.number: dict[str, int] = {}
+        entries: dict[tuple[int, ...], set[int]] = defaultdict(set)
         for name, text in items:
             words = [fold(w) for w in _WORD.findall(text or "")]
             if len(words) >= MIN_WORDS:
-                self.items.append((name, [self.number.setdefault(w, len(self.number)) for w in words]))
+                entries[tuple(self.number.setdefault(w, len(self.number)) for w in words)].add(name)
+        self.items = [(sorted(names), list(ws)) for ws, names in entries.items()]
         self.words = list(self.number)
-        shared = Counter(w for _, ws in self.items for w in set(ws))
-        #: words of few items: only these tell items apart
-        self.rare = np.array([shared[i] <= max(3, len(self.items) // 40) for i in range(len(self.words))] or [False])
-        of: dict[int, set[int]] = defaultdict(set)
-        for k, (_, ws) in enumerate(self.items):
-            for h in self.seeds(np.array(ws), self.rare):
-                of[int(h)].add(k)
-        kept = sorted(h for h, ks in of.items() if len(ks) <= MAX_SHARED)
-        self.hashes = np.array(kept, dtype=np.uint64)
-        self.found = [sorted(of[h]) for h in kept]
+        counted = Counter(w for _, ws in self.items for w in set(ws))
+        shared = np.array([counted[i] for i in range(len(self.words))] or [0])
+        #: words of few items, of which a seed has one at least; words of the common seeds that had to be kept join them
+        self.rare = shared <= max(3, len(self.items) // 40)
+        self.telling = self.rare.copy()
+        parts = [self.placed(np.array(ws), np.ones(len(self.words), dtype=bool)) for _, ws in self.items]
+        if not parts:
+            self.hashes, self.entry = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            self.at = self.entry
+            return
+        k = np.repeat(np.arange(len(parts)), [len(h) for h, _, _ in parts])
+        h, at, mask = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first = np.concatenate(([0], np.cumsum([len(ws) for _, ws in self.items])))
+        picked = np.concatenate([ws for _, ws in self.items])[(first[k] + at)[:, None] + np.array(MASKS)[mask]]
+        _, of = np.unique(h, return_inverse=True)
+        entries_of = np.bincount(np.unique(of * len(parts) + k) // len(parts))
+        keep = self.rare[picked].any(axis=1) & (entries_of[of] <= MAX_SHARED)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        for n, (_, ws) in enumerate(self.items):
+            mine = slice(ends[n] - len(parts[n][0]), ends[n])
+            keep[mine] |= self._needed(len(ws), at[mine], mask[mine], keep[mine])
+        common = keep & ~self.rare[picked].any(axis=1)
+        self.telling[picked[common, shared[picked[common]].argmin(axis=1)]] = True
+        order = np.flatnonzero(keep)[np.argsort(h[keep], kind="stable")]
+        self.hashes, self.entry, self.at = h[order], k[order], at[order]
 
     @staticmethod
-    def seeds(ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """Hashes of all masks at all places where the picked words are known (id >= 0) and one of them is rare."""
-        out = []
+    def _needed(m: int, at: np.ndarray, mask: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Which seeds of an item of m words lie in a passage that two lost words may leave with too few kept seeds."""
+        last = at + np.array([x[-1] for x in MASKS])[mask]
+        out = np.zeros(len(at), dtype=bool)
+        words = np.arange(m)
+        cover = ((at[:, None] <= words) & (words <= last[:, None])).astype(np.float32)
+        for w in range(m - MIN_WORDS + 1):
+            inside = (at >= w) & (last < w + MIN_WORDS)
+            c = cover[inside & kept, w : w + MIN_WORDS]
+            if len(c) - 2 * _MOST_COVERING >= LEAST_SEEDS:
+                continue
+            both = c.T @ c
+            d = np.diagonal(both)
+            if (len(c) - d[:, None] - d + both).min() < LEAST_SEEDS:
+                out |= inside
+        return out
+
+    @staticmethod
+    def placed(ids: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, places and mask numbers of all seeds whose picked words are known (id >= 0) and one of them is rare."""
+        hashes, places, masks = [], [], []
         x = ids.astype(np.int64)
         for n, mask in enumerate(MASKS):
             m = len(x) - mask[-1]
             if m <= 0:
                 continue
             picked = [x[o : o + m] for o in mask]
-            known = np.logical_and.reduce([p >= 0 for p in picked]) & np.logical_or.reduce([rare[p] for p in picked])
-            h = np.full(int(known.sum()), n + 1, dtype=np.uint64)
+            known = np.flatnonzero(np.logical_and.reduce([p >= 0 for p in picked]) & np.logical_or.reduce([rare[p] for p in picked]))
+            h = np.full(len(known), n + 1, dtype=np.uint64)
             for p in picked:
                 h = (h ^ p[known].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            out.append(h)
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+            hashes.append(h)
+            places.append(known)
+            masks.append(np.full(len(known), n))
+        if not hashes:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.concatenate(hashes), np.concatenate(places), np.concatenate(masks)
+
+    @staticmethod
+    def seeds(ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Hashes of ``placed``."""
+        return Index.placed(ids, rare)[0]
 
     def hits(self, ids: np.ndarray) -> set[int]:
-        """Numbers of the items that share a seed with the page."""
+        """Numbers of the entries that share a seed with the page."""
         if not len(self.hashes) or np.count_nonzero(ids >= 0) < 3:
             return set()
-        s = self.seeds(ids, self.rare)
-        if not len(s):
-            return set()
-        i = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-        return {k for j in np.unique(i[self.hashes[i] == s]) for k in self.found[j]}
+        s = np.unique(self.seeds(ids, self.telling))
+        i, j = np.searchsorted(self.hashes, s, "left"), np.searchsorted(self.hashes, s, "right")
+        return {int(k) for a, z in zip(i[i < j], j[i < j], strict=True) for k in self.entry[a:z]}
 
 
 def page_words(text: str, x0, y0, known: dict[str, int]) -> list[str]:
@@ -219,14 +267,14 @@ class Matcher:
             return []
         # only now are misread words looked up
         ways = [self.near(w) for w in words]
-        rare = self.index.rare
+        rare = self.index.telling
         places: dict[int, list[int]] = defaultdict(list)
         for p, way in enumerate(ways):
             for i in way:
                 places[i].append(p)
         out = []
         for k in sorted(hit):
-            name, item = self.index.items[k]
+            names, item = self.index.items[k]
             spots = sorted({p for i in set(item) if rare[i] for p in places.get(i, ())})
             if len(spots) < 2:
                 continue
@@ -244,7 +292,7 @@ class Matcher:
                         if i in at:
                             flags[p - a, at[i]] = True
                 if flags.any(axis=0).sum() * ONE_IN >= MIN_WORDS * (ONE_IN - 1) and _longest(align(flags)) >= MIN_WORDS:
-                    out.append(name)
+                    out += names
                     break
         return out
 
