@@ -91,6 +91,19 @@ def test_items_filed_often_and_shared_passages_leak(spark):
     assert found(spark, [(1, FILL + " " + " ".join(ITEM.split()[:15]), None)], sharing) == [(1, i) for i in range(20)]
 
 
+def test_passages_left_with_one_rare_word_leak(spark):
+    rng = random.Random(4)
+    common = [a + b for a in ("stone", "river", "market", "harbour", "chapel") for b in ("gate", "ward", "man", "side", "yard", "house")]
+    letters = "reghwtpxz"  # of different classes
+    items = []
+    for i in range(9):
+        w = rng.sample(common, 24)
+        items.append((i, " ".join(x for n in range(8) for x in [*w[3 * n : 3 * n + 3], f"quix{letters[n] * 4}{letters[i] * 4}"]), 1))
+    quoted = [["exchanged" if n in (7, 11) else x for n, x in enumerate(t.split())][4:19] for _, t, _ in items]
+    docs = [(i, FILL + " " + " ".join(q) + ". " + FILL, None) for i, q in enumerate(quoted)]
+    assert found(spark, docs, items) == [(i, i) for i in range(9)]
+
+
 def test_close_words_and_masks():
     assert leaks.close(leaks.fold("Braskdormstead"), leaks.fold("Bnaskdormstcad")) and leaks.close("abcdef", "abdef")
     assert not leaks.close("abcd", "abd") and not leaks.close(leaks.fold("Orvvignhaven"), leaks.fold("Orvvignburn"))

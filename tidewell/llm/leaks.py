@@ -58,6 +58,18 @@ def close(a: str, b: str) -> bool:
         return True
     if abs(len(a) - len(b)) > most:
         return False
+    # what both begin and end with costs no edit
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if len(a) <= 1 and len(b) <= 1:
+        return most >= 1
+    if most < 2:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         prev, row[0] = row[0], i
@@ -84,14 +96,14 @@ class Index:
             words = [fold(w) for w in _WORD.findall(text or "")]
             if len(words) >= MIN_WORDS:
                 entries[tuple(self.number.setdefault(w, len(self.number)) for w in words)].add(name)
-        self.items = [(sorted(names), list(ws)) for ws, names in entries.items()]
+        self.items = [(sorted(names), np.array(ws)) for ws, names in entries.items()]
         self.words = list(self.number)
-        counted = Counter(w for _, ws in self.items for w in set(ws))
+        counted = Counter(w for _, ws in self.items for w in set(ws.tolist()))
         shared = np.array([counted[i] for i in range(len(self.words))] or [0])
         #: words of few items, of which a seed has one at least; words of the common seeds that had to be kept join them
         self.rare = shared <= max(3, len(self.items) // 40)
         self.telling = self.rare.copy()
-        parts = [self.placed(np.array(ws), np.ones(len(self.words), dtype=bool)) for _, ws in self.items]
+        parts = [self.placed(ws, np.ones(len(self.words), dtype=bool)) for _, ws in self.items]
         if not parts:
             self.hashes, self.entry = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
             self.at = self.entry
@@ -157,13 +169,17 @@ class Index:
         """Hashes of ``placed``."""
         return Index.placed(ids, rare)[0]
 
-    def hits(self, ids: np.ndarray) -> set[int]:
-        """Numbers of the entries that share a seed with the page."""
+    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Entries that share seeds with the page, each with the seeds' places (page word, item word)."""
         if not len(self.hashes) or np.count_nonzero(ids >= 0) < 3:
-            return set()
-        s = np.unique(self.seeds(ids, self.telling))
+            return {}
+        s, p, _ = self.placed(ids, self.telling)
         i, j = np.searchsorted(self.hashes, s, "left"), np.searchsorted(self.hashes, s, "right")
-        return {int(k) for a, z in zip(i[i < j], j[i < j], strict=True) for k in self.entry[a:z]}
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for n in np.flatnonzero(i < j):
+            for e in range(i[n], j[n]):
+                out[int(self.entry[e])].append((int(p[n]), int(self.at[e])))
+        return out
 
 
 def page_words(text: str, x0, y0, known: dict[str, int]) -> list[str]:
@@ -191,20 +207,26 @@ def page_words(text: str, x0, y0, known: dict[str, int]) -> list[str]:
     return words
 
 
+@lru_cache(maxsize=1000)
+def _stretches(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of all stretches of at least MIN_WORDS of n words."""
+    return np.triu_indices(n + 1, MIN_WORDS)
+
+
 def _longest(matched: np.ndarray) -> int:
     """Length of the longest stretch of successive item words of which at most one in ONE_IN is unmatched."""
     n = len(matched)
     c = np.concatenate(([0], np.cumsum(matched)))
-    i, j = np.triu_indices(n + 1, MIN_WORDS)
+    i, j = _stretches(n)
     ok = (c[j] - c[i]) * ONE_IN >= (ONE_IN - 1) * (j - i)
     ok &= matched[np.minimum(i, n - 1)] & matched[np.maximum(j - 1, 0)]
     return int((j - i)[ok].max()) if ok.any() else 0
 
 
-def align(page: np.ndarray) -> np.ndarray:
-    """Which words of the item the best local alignment with the page matches.
+def align(page: np.ndarray) -> list[np.ndarray]:
+    """Which words of the item the best local alignment with the page matches, apart for its pieces.
 
-    ``page`` is a matrix of match flags (page word, item word). Missing or exchanged item words cost much, page words in
+    More than MAX_BETWEEN successive page words without a match part two pieces. ``page`` is a matrix of match flags (page word, item word). Missing or exchanged item words cost much, page words in
     between little, so a passage is followed across an advert.
     """
     n, m = page.shape
@@ -215,13 +237,13 @@ def align(page: np.ndarray) -> np.ndarray:
         s = np.maximum(s, 0)
         s = np.maximum.accumulate(s + cols) - cols
         score[p + 1, 1:] = s
-    matched = np.zeros(m, dtype=bool)
+    pieces = [np.zeros(m, dtype=bool)]
     p, q = np.unravel_index(int(score.argmax()), score.shape)
     run = 0
     while p > 0 and q > 0 and score[p, q] > 0:
         s = score[p, q]
         if page[p - 1, q - 1] and abs(s - score[p - 1, q - 1] - 1) < 1e-9:
-            matched[q - 1] = True
+            pieces[-1][q - 1] = True
             p, q, run = p - 1, q - 1, 0
         elif abs(s - score[p - 1, q] + 0.03) < 1e-9:
             p, run = p - 1, run + 1
@@ -229,9 +251,9 @@ def align(page: np.ndarray) -> np.ndarray:
             q -= 1
         else:
             p, q, run = p - 1, q - 1, 0
-        if run > MAX_BETWEEN:
-            break
-    return matched
+        if run > MAX_BETWEEN and pieces[-1].any():
+            pieces.append(np.zeros(m, dtype=bool))
+    return pieces
 
 
 class Matcher:
@@ -240,9 +262,10 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         self.index = Index(items)
         self.near = lru_cache(maxsize=200_000)(self._near)
-        self.by_size: dict[int, list[int]] = defaultdict(list)
+        self.by_part: dict[tuple[int, int, str], list[int]] = defaultdict(list)
         for i, w in enumerate(self.index.words):
-            self.by_size[len(w)].append(i)
+            for n, part in enumerate((w[:2], w[-3:], w[3:6])):
+                self.by_part[len(w), n, part].append(i)
 
     def _near(self, word: str) -> tuple[int, ...]:
         """Item words that a page word may be; words of the same first letters or last letters are compared."""
@@ -253,7 +276,9 @@ class Matcher:
             return ()
         words = self.index.words
         span = 1 if len(word) < 12 else 2
-        return tuple(i for n in range(len(word) - span, len(word) + span + 1) for i in self.by_size.get(n, ()) if (words[i][:2] == word[:2] or words[i][-3:] == word[-3:] or words[i][3:6] == word[3:6]) and close(words[i], word))
+        parts = enumerate((word[:2], word[-3:], word[3:6]))
+        like = {i for k, part in parts for n in range(len(word) - span, len(word) + span + 1) for i in self.by_part.get((n, k, part), ())}
+        return tuple(i for i in sorted(like, key=lambda i: (len(words[i]), i)) if close(words[i], word))
 
     def leaks(self, text: str | None, x0, y0) -> list[int]:
         """Names of the items that the page holds."""
@@ -265,38 +290,46 @@ class Matcher:
         hit = self.index.hits(ids)
         if not hit:
             return []
+        stretches = {k: _around(seeds, len(self.index.items[k][1]), len(words)) for k, seeds in hit.items()}
+        covered = np.zeros(len(words), dtype=bool)
+        for a, z in {x for s in stretches.values() for x in s}:
+            covered[a:z] = True
         # only now are misread words looked up
-        ways = [self.near(w) for w in words]
-        rare = self.index.telling
-        places: dict[int, list[int]] = defaultdict(list)
-        for p, way in enumerate(ways):
-            for i in way:
-                places[i].append(p)
+        ways = [self.near(w) if c else () for w, c in zip(words, covered.tolist(), strict=True)]
+        first = np.concatenate(([0], np.cumsum([len(w) for w in ways])))
+        at = np.repeat(np.arange(len(words)), np.diff(first))
+        way = np.fromiter((i for w in ways for i in w), dtype=np.int64, count=first[-1])
+        present = np.zeros(len(self.index.words), dtype=bool)
         out = []
         for k in sorted(hit):
             names, item = self.index.items[k]
-            spots = sorted({p for i in set(item) if rare[i] for p in places.get(i, ())})
-            if len(spots) < 2:
-                continue
-            groups = np.split(np.array(spots), np.flatnonzero(np.diff(spots) > MAX_BETWEEN + 25) + 1)
-            at: dict[int, list[int]] = defaultdict(list)
-            for q, i in enumerate(item):
-                at[i].append(q)
-            for g in groups:
-                if len(g) < 2:
+            for a, z in stretches[k]:
+                here = slice(first[a], first[z])
+                present[way[here]] = True
+                matched = present[item]
+                present[way[here]] = False
+                # the alignment matches no other words than these, so nothing is lost where they do not suffice
+                if np.count_nonzero(matched) * ONE_IN < MIN_WORDS * (ONE_IN - 1) or _longest(matched) < MIN_WORDS:
                     continue
-                a, z = max(0, int(g[0]) - 20), min(len(words), int(g[-1]) + 21)
                 flags = np.zeros((z - a, len(item)), dtype=bool)
-                for p in range(a, z):
-                    for i in ways[p]:
-                        if i in at:
-                            flags[p - a, at[i]] = True
-                if flags.any(axis=0).sum() * ONE_IN >= MIN_WORDS * (ONE_IN - 1) and _longest(align(flags)) >= MIN_WORDS:
+                np.logical_or.at(flags, at[here] - a, way[here, None] == item)
+                if any(_longest(piece) >= MIN_WORDS for piece in align(flags)):
                     out += names
                     break
         return out
 
 
+def _around(seeds: list[tuple[int, int]], m: int, n: int) -> list[tuple[int, int]]:
+    """Stretches of the page that an item of m words may fill if it lies as a seed says, joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted((max(0, p - q - 2 * MAX_BETWEEN), min(n, p - q + m + 2 * MAX_BETWEEN)) for p, q in seeds):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Pairs (doc_id, item_id): the page holds at least MIN_WORDS successive words of the item in their order.
 
