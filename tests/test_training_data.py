@@ -166,6 +166,21 @@ def series(rng, n, kind):
     return t, (50 + 3 * np.sin(np.arange(n) / 200) + rng.normal(0, 1, n)).round(4)
 
 
+def test_a_stretch_longer_than_shards_is_frozen(spark):
+    rng = np.random.default_rng(9)
+    t, v = series(rng, 20000, "gauge")
+    v[6000:14000] = v[6000]  # fills whole shards and most of others
+    v[14100] += 500.0
+    quiet, flat = series(rng, 700, "gauge")[1], np.full(9000, 3.0)
+    quiet[40:640] = quiet[40]
+    rows = [(i, "g", None, int(t[i]), float(v[i]), i, False) for i in range(len(v))]
+    rows += [(30000 + i, "q", None, int(t[i]), float(quiet[i]), i, False) for i in range(len(quiet))]
+    rows += [(40000 + i, "k", None, int(t[i]), float(flat[i]), i, False) for i in range(len(flat))]
+    mi = info(spark, *((m, "gauge", None, 1, 1) for m in "gqk"))
+    got = {r[0] for r in spikes.faulty_rows(frame(spark, rows), mi).collect()}
+    assert got == {*range(6000, 14000), 14100, *range(30040, 30640)}
+
+
 def test_spikes(spark):
     rng = np.random.default_rng(8)
     rows, want, sid = [], set(), 0

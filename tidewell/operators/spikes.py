@@ -105,7 +105,7 @@ def _profile(rows: DataFrame) -> DataFrame:
 
 
 def _shards(rows: DataFrame, shard_rows: int, halo_rows: int) -> DataFrame:
-    """Rows with ``shard`` and ``core``; rows near a boundary appear once more in each shard whose halo they are.
+    """Rows with ``shard``, ``core`` and ``many`` (series of several shards); rows near a boundary appear once more in each shard whose halo they are.
 
     Row counts per (series, bucket) are summed along the series; a bucket belongs to the shard in which its
     first row falls, and to every shard that begins or ends within ``halo_rows`` rows of it.
@@ -122,7 +122,7 @@ def _shards(rows: DataFrame, shard_rows: int, halo_rows: int) -> DataFrame:
         F.expr(f"c div {shard_rows}L").alias("own"),
         F.expr(f"sequence(greatest(c - {halo_rows}L, 0L) div {shard_rows}L, (c + n - 1 + {halo_rows}L) div {shard_rows}L)").alias("of"),
     )
-    wide = rows.join(cut.hint("merge"), ["h1", "h2", "bucket"], "left").drop("bucket")
+    wide = rows.join(cut.hint("merge"), ["h1", "h2", "bucket"], "left").drop("bucket").withColumn("many", F.col("own").isNotNull())
     return wide.withColumn("shard", F.explode(F.coalesce("of", F.array(F.lit(0).cast("bigint"))))).withColumn(
         "core", F.col("shard") == F.coalesce("own", F.lit(0))
     ).drop("of", "own")
@@ -210,47 +210,119 @@ def _filter(y: np.ndarray, skip: np.ndarray, n: np.ndarray, start: np.ndarray, d
     return z, np.where(is_shift[run], run, 0)
 
 
-def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, skewed: np.ndarray, impossible: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Distinct:
+    """Readings sorted by (g, ts), of which equal (ts, value) of a shard are one, with the shards' noise.
+
+    ``g`` numbers the shards from 0.
+    """
+
+    def __init__(self, g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, skewed: np.ndarray, impossible: np.ndarray):
+        order = np.lexsort((v, ts, g))
+        same = np.zeros(len(v), dtype=bool)
+        o1, o0 = order[1:], order[:-1]
+        same[1:] = (g[o1] == g[o0]) & (ts[o1] == ts[o0]) & (v[o1] == v[o0])
+        self.u = u = order[~same]  # one row of each distinct reading
+        self.back = np.empty(len(v), dtype=np.int64)
+        self.back[order] = np.cumsum(~same) - 1
+        self.ug, self.uv, self.uts, self.ok = g[u], v[u], ts[u], ~impossible[u]
+        self.k = int(self.ug[-1]) + 1 if len(u) else 0
+        self.n = np.bincount(self.ug, minlength=self.k)
+        self.start = np.concatenate(([0], np.cumsum(self.n)[:-1])).astype(np.int64)
+        self.kind, self.log = counter[u][self.start], skewed[u][self.start]
+        self.med = _group_median(self.uv[self.ok], self.ug[self.ok], self.k)
+        with np.errstate(all="ignore"):
+            self.y = np.where(self.log[self.ug], np.log(np.maximum(self.uv, 0) + 0.02 * np.abs(self.med[self.ug]) + 1e-300), self.uv)
+
+    def noise(self, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Drift of counters and the spread of steps to the next and the next but two usable reading, per shard."""
+        fit = np.flatnonzero(usable)
+        fg, fy = self.ug[fit], self.y[fit]
+
+        def steps(lag: int) -> tuple[np.ndarray, np.ndarray]:
+            keep = fg[lag:] == fg[:-lag] if len(fg) > lag else np.zeros(0, dtype=bool)
+            return (fy[lag:] - fy[:-lag])[keep] if len(fg) > lag else np.zeros(0), fg[lag:][keep] if len(fg) > lag else np.zeros(0, dtype=np.int64)
+
+        d1, g1 = steps(1)
+        d3, g3 = steps(3)
+        drift = np.where(self.kind, _group_median(d1, g1, self.k), 0.0)
+        return drift, _spread(d1, g1, self.k, drift), _spread(d3, g3, self.k, 3 * drift)
+
+    def variances(self, drift: np.ndarray, s1: np.ndarray, s3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        floor = np.where(self.log, 1e-3, 1e-3 * np.abs(self.med)) + 1e-12
+        floor = np.where(self.kind, 0.05 * np.abs(drift) + 1e-9, floor)
+        return np.maximum(s1, floor) ** 2, np.maximum(s3, floor) ** 2
+
+    def runs(self, v1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which readings (almost) repeat the one before, and which lie in a run of at least FROZEN_RUN such."""
+        ug, uv, uts, log = self.ug, self.uv, self.uts, self.log
+        tol = 0.02 * np.sqrt(v1)[ug]
+        still = np.zeros(len(uv), dtype=bool)
+        still[1:] = (ug[1:] == ug[:-1]) & (np.abs(uv[1:] - uv[:-1]) <= np.minimum(np.where(log[ug], tol * np.abs(uv), tol), 1e-3 * np.abs(uv) + 1e-9)[1:])
+        head_of = np.maximum.accumulate(np.where(~still, np.arange(len(uv)), 0)) if len(uv) else np.zeros(0, dtype=np.int64)
+        fresh_ts = np.ones(len(uv), dtype=np.int64)
+        fresh_ts[1:] = (ug[1:] != ug[:-1]) | (uts[1:] != uts[:-1])
+        length = np.bincount(head_of, weights=fresh_ts, minlength=len(uv)) if len(uv) else np.zeros(0)
+        return still, length[head_of] >= FROZEN_RUN
+
+    def count(self, which: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ug, weights=which, minlength=self.k)
+
+
+def _natural(n: np.ndarray, outside: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """Whether a series is constant by nature: it repeats its value so often that it does so ten times by chance.
+
+    ``outside`` counts its readings outside runs, ``repeats`` those of them that repeat the one before.
+    """
+    return ((repeats / np.maximum(outside, 1)) ** (FROZEN_RUN - 1) * np.clip(n, 1, SHARD_ROWS) > 0.01) | (outside < 8)
+
+
+def tally(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, skewed: np.ndarray, impossible: np.ndarray, core: np.ndarray) -> dict[str, np.ndarray]:
+    """What a shard tells about its series: mergeable counts of its own readings, and its noise outside of runs."""
+    d = _Distinct(g, ts, v, counter, skewed, impossible)
+    still, in_run = d.runs(d.variances(*d.noise(d.ok))[0])
+    own = core[d.u]
+    moving = d.ok & ~in_run
+    drift, s1, s3 = d.noise(moving)
+    return {"n": d.count(own), "outside": d.count(own & ~in_run), "repeats": d.count(own & still & ~in_run), "moving": d.count(own & moving), "drift": drift, "s1": s1, "s3": s3}
+
+
+def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, skewed: np.ndarray, impossible: np.ndarray, whole: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Innovations and frozen flags of readings sorted by (g, ts); g numbers the shards from 0.
 
     Equal (ts, value) of a shard is one reading delivered more than once: judged once, the verdict holds for all.
-    Shards of fewer than 8 distinct readings get innovations of 0.
+    Shards of fewer than 8 distinct readings get innovations of 0. ``whole`` has, per reading, what the shards of the
+    series tell together (NaN: the shard is the series). It decides what is constant by nature, and gives the
+    noise of shards that mostly lie in runs.
     """
-    order = np.lexsort((v, ts, g))
-    same = np.zeros(len(v), dtype=bool)
-    o1, o0 = order[1:], order[:-1]
-    same[1:] = (g[o1] == g[o0]) & (ts[o1] == ts[o0]) & (v[o1] == v[o0])
-    u = order[~same]  # one row of each distinct reading
-    back = np.empty(len(v), dtype=np.int64)
-    back[order] = np.cumsum(~same) - 1
-    ug, uv, uts, bad = g[u], v[u], ts[u], impossible[u]
-    k = int(ug[-1]) + 1 if len(ug) else 0
-    n = np.bincount(ug, minlength=k)
-    start = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
-    kind, log = counter[u][start], skewed[u][start]
-    ok = ~bad
-    med = _group_median(uv[ok], ug[ok], k)
-    with np.errstate(all="ignore"):
-        y = np.where(log[ug], np.log(np.maximum(uv, 0) + 0.02 * np.abs(med[ug]) + 1e-300), uv)
-    level = np.where(log, np.log(1.02 * np.abs(med) + 1e-300), med)
+    d = _Distinct(g, ts, v, counter, skewed, impossible)
+    ug, uv, y, k, n, start, kind, log, ok = d.ug, d.uv, d.y, d.k, d.n, d.start, d.kind, d.log, d.ok
+    bad = ~ok
+    level = np.where(log, np.log(1.02 * np.abs(d.med) + 1e-300), d.med)
     # steps between usable neighbours give noise, drift of counters, and how fast the level wanders
-    fit = np.flatnonzero(ok)
-    fg, fy = ug[fit], y[fit]
-
-    def steps(lag: int) -> tuple[np.ndarray, np.ndarray]:
-        keep = fg[lag:] == fg[:-lag] if len(fg) > lag else np.zeros(0, dtype=bool)
-        return (fy[lag:] - fy[:-lag])[keep] if len(fg) > lag else np.zeros(0), fg[lag:][keep] if len(fg) > lag else np.zeros(0, dtype=np.int64)
-
-    d1, g1 = steps(1)
-    d3, g3 = steps(3)
-    drift = np.where(kind, _group_median(d1, g1, k), 0.0)
-    s1, s3 = _spread(d1, g1, k, drift), _spread(d3, g3, k, 3 * drift)
-    floor = np.where(log, 1e-3, 1e-3 * np.abs(med)) + 1e-12
-    floor = np.where(kind, 0.05 * np.abs(drift) + 1e-9, floor)
-    v1 = np.maximum(s1, floor) ** 2
-    v3 = np.maximum(s3, floor) ** 2
+    drift, s1, s3 = d.noise(ok)
+    still, in_run = d.runs(d.variances(drift, s1, s3)[0])
+    outside = d.count(~in_run)
+    natural = _natural(n, outside, d.count(still & ~in_run))
+    lent = np.zeros(k, dtype=bool)
+    if whole is not None:
+        of = {c: x[d.u][start] for c, x in whole.items()}
+        known = ~np.isnan(of["n"])
+        natural = np.where(known, _natural(*(np.nan_to_num(of[c]) for c in ("n", "outside", "repeats"))), natural)
+        lent = known & ~np.isnan(of["s1"]) & ~natural & (2 * outside < n)
+        drift, s1, s3 = (np.where(lent, of[c], own) for c, own in (("drift", drift), ("s1", s1), ("s3", s3)))
+        if lent.any():
+            in_run = d.runs(d.variances(drift, s1, s3)[0])[1]
+    # a run of equal readings in a series that otherwise moves; such readings are withheld from the filter like any fault
+    frozen = in_run & ~natural[ug] & ok
+    usable = ok & ~frozen
+    again = (d.count(frozen) > 0) & ~lent
+    if again.any():  # frozen readings tell nothing of the noise
+        drift, s1, s3 = (np.where(again, new, old) for new, old in zip(d.noise(usable), (drift, s1, s3), strict=True))
+    v1, v3 = d.variances(drift, s1, s3)
     q = np.where(kind, v1, np.clip((v3 - v1) / 2, 0.01 * v1, v1))
     r = np.where(kind, 0.01 * v1, np.maximum((v1 - q) / 2, 0.05 * v1))
+    fit = np.flatnonzero(usable)
+    fg, fy = ug[fit], y[fit]
     head = fit[np.concatenate(([True], fg[1:] != fg[:-1]))] if len(fit) else fit
     first = level.copy()
     if len(fit):
@@ -259,30 +331,16 @@ def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, ske
         early = place < 9
         first = _group_median(fy[early], fg[early], k)
         first[kind] = _counter_start(fy, fg, head, fit, drift, k)[kind]
-    # vanishing innovation variance; such readings are withheld from the filter like any fault
-    tol = 0.02 * np.sqrt(v1)[ug]
-    still = np.zeros(len(uv), dtype=bool)
-    still[1:] = (ug[1:] == ug[:-1]) & (np.abs(uv[1:] - uv[:-1]) <= np.minimum(np.where(log[ug], tol * np.abs(uv), tol), 1e-3 * np.abs(uv) + 1e-9)[1:])
-    head_of = np.maximum.accumulate(np.where(~still, np.arange(len(uv)), 0)) if len(uv) else np.zeros(0, dtype=np.int64)
-    fresh_ts = np.ones(len(uv), dtype=np.int64)
-    fresh_ts[1:] = (ug[1:] != ug[:-1]) | (uts[1:] != uts[:-1])
-    length = np.bincount(head_of, weights=fresh_ts, minlength=len(uv)) if len(uv) else np.zeros(0)
-    in_run = length[head_of] >= FROZEN_RUN
-    # a series that often repeats its value by nature is not frozen when it does so ten times
-    outside = np.bincount(ug, weights=~in_run, minlength=k)
-    repeats = np.bincount(ug, weights=still & ~in_run, minlength=k) / np.maximum(outside, 1)
-    natural = (repeats ** (FROZEN_RUN - 1) * np.maximum(n, 1) > 0.01) | (outside < 8)
-    frozen = in_run & ~natural[ug] & ok
     z, shift = _filter(y, bad | frozen, n, start, drift, q, r, first)
     z = np.where(shift > 0, 0.0, z)
-    scale = np.clip(1.4826 * _group_median(np.abs(z[ok]), ug[ok], k, 1.0), 0.7, 3.0)
+    scale = np.clip(1.4826 * _group_median(np.abs(z[usable]), ug[usable], k, 1.0), 0.7, 3.0)
     z = np.clip(z / scale[ug], -1e30, 1e30)
     z[(n < 8)[ug]] = 0.0
     # steps of counters have heavier tails than noise has: their innovations count half
     z[kind[ug]] /= 2
     # a fall of a counter to about its usual step is a restart, even with few readings after it
     z[kind[ug] & (uv >= 0) & (z < 0) & (uv <= 8 * np.abs(drift[ug]))] = 0.0
-    return z[back], frozen[back]
+    return z[d.back], frozen[d.back]
 
 
 def _counter_start(fy: np.ndarray, fg: np.ndarray, head: np.ndarray, fit: np.ndarray, drift: np.ndarray, k: int) -> np.ndarray:
@@ -295,27 +353,49 @@ def _counter_start(fy: np.ndarray, fg: np.ndarray, head: np.ndarray, fit: np.nda
 _OUT = pa.schema([("sample_id", pa.int64()), ("m", pa.int64()), ("z", pa.float32()), ("sure", pa.bool_()), ("hist", pa.list_(pa.int64()))])
 
 
+_WHOLE = ("n", "outside", "repeats", "drift", "s1", "s3")
+_TALLY = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shard", pa.int64()), ("moving", pa.int64()), *[(c, pa.float64()) for c in _WHOLE]])
+
+
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in names]
+
+
+def _numbered(t: pa.Table) -> np.ndarray:
+    """Numbers of the shards of readings sorted by shard, from 0."""
+    new = np.ones(t.num_rows, dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in _columns(t, "h1", "h2", "shard")])
+    return np.cumsum(new) - 1
+
+
 def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Readings sorted by shard -> candidates, sure cases and histograms; works on whole shards, some at a time."""
-
-    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        h1, h2, sh = col("h1"), col("h2"), col("shard")
-        new = np.ones(len(h1), dtype=bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (sh[1:] != sh[:-1])
-        g = np.cumsum(new) - 1
-        imp, core, m, sid = col("impossible"), col("core"), col("m"), col("sample_id")
-        z, frozen = judge(g, col("ts"), col("value"), col("counter"), col("skewed"), imp)
+    """Readings sorted by shard -> candidates, sure cases and histograms."""
+    for t in _whole_shards(batches):
+        imp, core, m, sid = _columns(t, "impossible", "core", "m", "sample_id")
+        whole = dict(zip(_WHOLE, (x.astype(np.float64) for x in _columns(t, *("w_" + c for c in _WHOLE))), strict=True))
+        z, frozen = judge(_numbered(t), *_columns(t, "ts", "value", "counter", "skewed"), imp, whole)
         size = np.abs(z)
         sure = core & (imp | frozen)
         keep = core & (sure | (size > GATE))
         yield pa.record_batch([sid[keep], m[keep], z[keep].astype(np.float32), sure[keep], pa.nulls(int(keep.sum()), pa.list_(pa.int64()))], schema=_OUT)
         names, of = np.unique(m, return_inverse=True)
         bins = np.minimum(size * 2, _BINS - 1).astype(np.int64)
-        tally = np.bincount((of * _BINS + bins)[core], minlength=len(names) * _BINS).reshape(len(names), _BINS)
+        counts = np.bincount((of * _BINS + bins)[core], minlength=len(names) * _BINS).reshape(len(names), _BINS)
         none = len(names)
-        yield pa.record_batch([pa.nulls(none, pa.int64()), names, pa.nulls(none, pa.float32()), pa.nulls(none, pa.bool_()), pa.array(tally.tolist(), pa.list_(pa.int64()))], schema=_OUT)
+        yield pa.record_batch([pa.nulls(none, pa.int64()), names, pa.nulls(none, pa.float32()), pa.nulls(none, pa.bool_()), pa.array(counts.tolist(), pa.list_(pa.int64()))], schema=_OUT)
 
+
+def _tally_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Readings sorted by shard -> a row per shard of the series that have several."""
+    for t in _whole_shards(b.filter(b.column("many")) for b in batches):
+        g = _numbered(t)
+        h1, h2, shard = (x[np.flatnonzero(np.diff(g, prepend=-1))] for x in _columns(t, "h1", "h2", "shard"))
+        of = tally(g, *_columns(t, "ts", "value", "counter", "skewed", "impossible", "core"))
+        yield pa.record_batch([h1, h2, shard, of["moving"].astype(np.int64), *(of[c].astype(np.float64) for c in _WHOLE)], schema=_TALLY)
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole shards, some at a time."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -325,15 +405,25 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows += b.num_rows
         if rows >= 300_000:
             t = pa.Table.from_batches(held)
-            key = np.stack([t[c].combine_chunks().to_numpy() for c in ("h1", "h2", "shard")])
+            key = np.stack(_columns(t, "h1", "h2", "shard"))
             last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
             if len(last):  # all but the last shard, which may go on
                 cut = int(last[-1]) + 1
-                yield from flush(t.slice(0, cut))
+                yield t.slice(0, cut)
                 held = t.slice(cut).to_batches()
                 rows = t.num_rows - cut
     if held:
-        yield from flush(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _whole_series(shards: DataFrame) -> DataFrame:
+    """What all shards of a series tell about it, for each of its shards."""
+    merged = shards.groupBy("h1", "h2").agg(
+        F.collect_list("shard").alias("shard"),
+        *[F.sum(c).alias("w_" + c) for c in ("n", "outside", "repeats")],
+        *[F.percentile(c, 0.5, F.col("moving")).alias("w_" + c) for c in ("drift", "s1", "s3")],
+    )
+    return merged.withColumn("shard", F.explode("shard"))
 
 
 def _judged(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
@@ -343,8 +433,12 @@ def _judged(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
     profile = stored(_profile(rows), "profile")  # a row per metric; its size is checked before it is broadcast
     rows = join_small(rows, profile, "m", "left").select("sample_id", "ts", "value", "h1", "h2", "m", "counter", skewed, "impossible")
     parts = shuffle_width(samples.sparkSession)
-    cut = _shards(rows, SHARD_ROWS, HALO_ROWS).repartition(parts, "h1", "h2", "shard").sortWithinPartitions("h1", "h2", "shard", "ts")
-    return stored(cut.mapInArrow(_judge_batches, "sample_id bigint, m bigint, z float, sure boolean, hist array<bigint>"), "spikes")
+    order = ("h1", "h2", "shard", "ts")
+    cut = _shards(rows, SHARD_ROWS, HALO_ROWS).repartition(parts, "h1", "h2", "shard")
+    # both passes read the same exchange; the join finds the rows of a shard where they lie
+    shards = cut.sortWithinPartitions(*order).mapInArrow(_tally_batches, "h1 bigint, h2 bigint, shard bigint, moving bigint, " + ", ".join(f"{c} double" for c in _WHOLE))
+    known = cut.join(_whole_series(shards).hint("shuffle_hash"), ["h1", "h2", "shard"], "left").sortWithinPartitions(*order)
+    return stored(known.mapInArrow(_judge_batches, "sample_id bigint, m bigint, z float, sure boolean, hist array<bigint>"), "spikes")
 
 
 def _gates(judged: DataFrame) -> DataFrame:
