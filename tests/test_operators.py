@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import queries
 from tidewell.model import series_key
 from tidewell.operators import placement
 from tidewell.operators.aggregate import aggregate, downsample
@@ -95,3 +96,16 @@ def test_replica_merge(spark):
     a, b = points(spark, (0, 1), (1, 2)), points(spark, (1, 2), (2, 3))
     cols = ["series_key", "ts", "value"]
     assert rows(placement.merge_replicas([a.select(cols), b.select(cols)]), "ts", "value") == [(0, 1.0), (1, 2.0), (2, 3.0)]
+
+
+def test_snapshot_near_the_head_resolves_the_whole_table(spark, tmp_path):
+    n, hour, day = 2000, 3_600_000, 1_704_067_200_000
+    events = [(i, day + (i * 7919) % 500 * (hour // 4), i % 50, "ab"[i % 2], float(i), "{}") for i in range(n)]
+    df = spark.createDataFrame(events, "event_id bigint, ms bigint, user_id bigint, event_type string, value double, props string")
+    df.select("event_id", F.timestamp_millis("ms").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    last = {}
+    for i, t, _, kind, v, _ in events:
+        if i <= n - 6 and i not in (n - 7, n - 21, n - 101):
+            last[kind, t // hour * hour] = (v, i % 7 == 0)
+    got = rows(queries.QUERIES["snapshot_near_head"](spark, str(tmp_path)), "series_key", "ts", "value")
+    assert got == sorted((k, t, v) for (k, t), (v, gone) in last.items() if not gone) and max(r[2] for r in got) > n - 200

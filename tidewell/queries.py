@@ -125,6 +125,20 @@ def _snapshot(spark: SparkSession, root: str) -> DataFrame:
     return resolve_latest(rows.where(visible(900, (17, 170, 700)))).select("series_key", "ts", "value")
 
 
+@register(
+    "snapshot_near_head",
+    f"""SELECT m AS series_key, b AS ts, v AS value FROM (
+ SELECT m, (t // 3600000) * 3600000 AS b, v, e % 7 = 0 AS d, row_number() OVER (PARTITION BY m, (t // 3600000) * 3600000 ORDER BY e DESC) AS rn
+ FROM {EVENTS} CROSS JOIN (SELECT max(event_id) AS head FROM events) WHERE e <= head - 5 AND e NOT IN (head - 6, head - 20, head - 100)) WHERE rn = 1 AND NOT d""",
+)
+def _snapshot_near_head(spark: SparkSession, root: str) -> DataFrame:
+    """As ``snapshot_and_tombstones``, but over nearly the whole table: the watermark lies just below its newest transaction."""
+    events = model.events_by_type(spark, root)
+    head = events.agg(F.coalesce(F.max("txn_id"), F.lit(0))).first()[0]
+    rows = events.withColumn("is_deleted", F.expr("txn_id % 7 = 0")).withColumn("ts", F.expr("(ts div 3600000L) * 3600000L"))
+    return resolve_latest(rows.where(visible(head - 5, (head - 6, head - 20, head - 100)))).select("series_key", "ts", "value")
+
+
 register("series_list", f"SELECT DISTINCT m || '{{k=\"' || coalesce(json_extract_string(props, '$.k'), '') || '\",user=\"' || u || '\"}}' AS series_key FROM {EVENTS}")(
     lambda spark, root: list_series(model.events_by_label(spark, root))
 )
