@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import queries
+from tidewell.functions import bloom
 from tidewell.model import series_key
 from tidewell.operators import placement
 from tidewell.operators.aggregate import aggregate, downsample
@@ -109,3 +110,21 @@ def test_snapshot_near_the_head_resolves_the_whole_table(spark, tmp_path):
             last[kind, t // hour * hour] = (v, i % 7 == 0)
     got = rows(queries.QUERIES["snapshot_near_head"](spark, str(tmp_path)), "series_key", "ts", "value")
     assert got == sorted((k, t, v) for (k, t), (v, gone) in last.items() if not gone) and max(r[2] for r in got) > n - 200
+
+
+def test_bloom_filter_is_asked_for_keys_that_are_no_members(spark, tmp_path, monkeypatch):
+    spark.range(300).select((F.col("id") * 3 % 150).alias("o_custkey")).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(200).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    sized, seen = [], {}
+    size, ask = bloom.size, bloom.might_contain
+
+    def asking(df, key, *rest):
+        seen["asked"], seen["passed"] = df, ask(df, key, *rest)
+        return seen["passed"]
+
+    monkeypatch.setattr(bloom, "size", lambda n, *rate: sized.append(n) or size(n, *rate))
+    monkeypatch.setattr(bloom, "might_contain", asking)
+    assert queries.QUERIES["bloom_membership"](spark, str(tmp_path)).collect() == [(50,)]
+    assert sized == [50] and seen["asked"].count() == 400 and 50 <= seen["passed"].count() < 80
+    monkeypatch.setattr(bloom, "size", lambda n, *rate: (64, 1))  # too small: much passes falsely
+    assert queries.QUERIES["bloom_membership"](spark, str(tmp_path)).collect() == [(50,)] and seen["passed"].count() > 80

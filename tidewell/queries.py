@@ -280,11 +280,18 @@ def _store_retention(spark: SparkSession, root: str) -> DataFrame:
 
 @register("bloom_membership", "SELECT count(DISTINCT o_custkey) AS members FROM orders")
 def _bloom(spark: SparkSession, root: str) -> DataFrame:
-    """Customers that pass a filter of the order's customers and are among them: no member may be missing."""
-    orders = model.read_table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    bits, hashes = bloom.size(100_000)
-    passed = bloom.might_contain(orders.distinct(), "c_custkey", bloom.build(orders, "c_custkey", bits, hashes), bits, hashes)
-    return passed.agg(F.count(F.lit(1)).alias("members"))
+    """Customers that pass a filter of the order's customers and are among them: no member may be missing.
+
+    Asked are the keys of both tables and as many beyond the greatest, which are no members; what passes falsely is
+    removed by an exact join.
+    """
+    orders = model.read_table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    known = model.read_table(spark, root, "customer").select("c_custkey").union(orders).where("c_custkey IS NOT NULL").distinct()
+    least, most = known.agg(F.coalesce(F.min("c_custkey"), F.lit(0)), F.coalesce(F.max("c_custkey"), F.lit(0))).first()
+    asked = known.union(known.select(F.col("c_custkey") + (most - least + 1)))
+    bits, hashes = bloom.size(orders.where("c_custkey IS NOT NULL").count())
+    passed = bloom.might_contain(asked, "c_custkey", bloom.build(orders, "c_custkey", bits, hashes), bits, hashes)
+    return passed.join(orders, "c_custkey", "left_semi").agg(F.count(F.lit(1)).alias("members"))
 
 
 # --- training-data operators -----------------------------------------------------------------------------------------
