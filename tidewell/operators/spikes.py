@@ -3,8 +3,8 @@
 A local-level state-space model is filtered per series (a Kalman filter; counters carry their usual step as drift).
 A reading whose standardised innovation passes the gate is flagged and its update withheld. A run of flagged
 readings that agree with each other for ``SHIFT_RUN`` readings is a lasting change of level (or a restart): the state
-moves there and the run is no fault. A stretch in which the innovation variance vanishes although the series otherwise
-moves is frozen.
+moves there and the run is no fault. A run of (almost) equal raw readings in a series that otherwise moves is frozen; this
+is counted before the filter runs, in place of a test of the innovations' variance.
 
 Scale: a series' readings are cut into shards of about ``SHARD_ROWS`` rows, at boundaries found from row counts per
 (series, ten minutes); neighbouring shards exchange ``HALO_ROWS`` readings, with which the filter settles and runs
