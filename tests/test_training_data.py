@@ -181,6 +181,20 @@ def test_a_stretch_longer_than_shards_is_frozen(spark):
     assert got == {*range(6000, 14000), 14100, *range(30040, 30640)}
 
 
+def test_bursts_of_one_series_hide_no_spikes_of_another(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for k in range(3):
+        t, v = series(rng, 1500, "gauge")
+        if k == 0:
+            v[20::20] += 30.0  # usual for this series
+        else:
+            v[700] += 18.0
+        rows += [(2000 * k + i, "g", {"k": str(k)}, int(t[i]), float(v[i]), i, False) for i in range(len(v))]
+    got = {r[0] for r in spikes.faulty_rows(frame(spark, rows), info(spark, ("g", "gauge", None, 1, 1))).collect()}
+    assert got == {2700, 4700}
+
+
 def test_spikes(spark):
     rng = np.random.default_rng(8)
     rows, want, sid = [], set(), 0

@@ -11,8 +11,8 @@ Scale: a series' readings are cut into shards of about ``SHARD_ROWS`` rows, at b
 across a boundary are completed. No task holds more than a shard of a series. A task filters its shards side by side:
 one numpy step advances all of them.
 
-The gate's width is the series' own noise; how wide the usual bursts of a metric reach is taken from the histogram of
-all innovations of the metric, merged over all shards.
+The gate's width is the series' own noise; how wide its usual bursts reach is taken from the histogram of all its
+innovations, merged over its shards, or from the metric's where a series has few readings.
 """
 
 from __future__ import annotations
@@ -35,11 +35,13 @@ BUCKET_MS = 600_000
 SHIFT_RUN = 7
 #: Equal readings that make a frozen stretch.
 FROZEN_RUN = 10
-#: Gate of the filter and least gate of the report in standard deviations, and the share of a metric's readings whose innovations count as usual.
+#: Gate of the filter and least gate of the report in standard deviations, and the share of readings whose innovations count as usual.
 GATE = 6.0
 REPORT_GATE = 6.5
 USUAL_SHARE = 0.985
 USUAL_MARGIN = 1.4
+#: Readings from which on a series' own innovations say what is usual.
+OWN_GATE_ROWS = 1000
 #: What a unit can measure. Units not named are unbounded.
 UNIT_BOUNDS = {
     "percent": (0.0, 100.0),
@@ -350,7 +352,7 @@ def _counter_start(fy: np.ndarray, fg: np.ndarray, head: np.ndarray, fit: np.nda
     return _group_median(fy[early] - drift[fg[early]] * (place[early] + 1), fg[early], k)
 
 
-_OUT = pa.schema([("sample_id", pa.int64()), ("m", pa.int64()), ("z", pa.float32()), ("sure", pa.bool_()), ("hist", pa.list_(pa.int64()))])
+_OUT = pa.schema([("sample_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("m", pa.int64()), ("z", pa.float32()), ("sure", pa.bool_()), ("hist", pa.list_(pa.int64()))])
 
 
 _WHOLE = ("n", "outside", "repeats", "drift", "s1", "s3")
@@ -371,18 +373,25 @@ def _numbered(t: pa.Table) -> np.ndarray:
 def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Readings sorted by shard -> candidates, sure cases and histograms."""
     for t in _whole_shards(batches):
-        imp, core, m, sid = _columns(t, "impossible", "core", "m", "sample_id")
+        imp, core, m, sid, h1, h2 = _columns(t, "impossible", "core", "m", "sample_id", "h1", "h2")
+        g = _numbered(t)
         whole = dict(zip(_WHOLE, (x.astype(np.float64) for x in _columns(t, *("w_" + c for c in _WHOLE))), strict=True))
-        z, frozen = judge(_numbered(t), *_columns(t, "ts", "value", "counter", "skewed"), imp, whole)
+        z, frozen = judge(g, *_columns(t, "ts", "value", "counter", "skewed"), imp, whole)
         size = np.abs(z)
         sure = core & (imp | frozen)
         keep = core & (sure | (size > GATE))
-        yield pa.record_batch([sid[keep], m[keep], z[keep].astype(np.float32), sure[keep], pa.nulls(int(keep.sum()), pa.list_(pa.int64()))], schema=_OUT)
-        names, of = np.unique(m, return_inverse=True)
+        yield pa.record_batch([sid[keep], h1[keep], h2[keep], m[keep], z[keep].astype(np.float32), sure[keep], pa.nulls(int(keep.sum()), pa.list_(pa.int64()))], schema=_OUT)
         bins = np.minimum(size * 2, _BINS - 1).astype(np.int64)
-        counts = np.bincount((of * _BINS + bins)[core], minlength=len(names) * _BINS).reshape(len(names), _BINS)
-        none = len(names)
-        yield pa.record_batch([pa.nulls(none, pa.int64()), names, pa.nulls(none, pa.float32()), pa.nulls(none, pa.bool_()), pa.array(counts.tolist(), pa.list_(pa.int64()))], schema=_OUT)
+        first = np.flatnonzero(np.diff(g, prepend=-1))
+        # shards of large series keep their own histogram, the others are one per metric
+        own = _columns(t, "many")[0][first] | (np.bincount(g[core], minlength=len(first)) >= OWN_GATE_ROWS)
+        names, of = np.unique(m[first], return_inverse=True)
+        line = np.where(own, len(names) + np.cumsum(own) - 1, of)[g]
+        lines = len(names) + int(own.sum())
+        counts = np.bincount((line * _BINS + bins)[core], minlength=lines * _BINS).reshape(lines, _BINS)
+        series = [pa.array([None] * len(names) + h[first][own].tolist(), pa.int64()) for h in (h1, h2)]
+        of_m = np.concatenate([names, m[first][own]])
+        yield pa.record_batch([pa.nulls(lines, pa.int64()), *series, of_m, pa.nulls(lines, pa.float32()), pa.nulls(lines, pa.bool_()), pa.array(counts.tolist(), pa.list_(pa.int64()))], schema=_OUT)
 
 
 def _tally_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,21 +447,23 @@ def _judged(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
     # both passes read the same exchange; the join finds the rows of a shard where they lie
     shards = cut.sortWithinPartitions(*order).mapInArrow(_tally_batches, "h1 bigint, h2 bigint, shard bigint, moving bigint, " + ", ".join(f"{c} double" for c in _WHOLE))
     known = cut.join(_whole_series(shards).hint("shuffle_hash"), ["h1", "h2", "shard"], "left").sortWithinPartitions(*order)
-    return stored(known.mapInArrow(_judge_batches, "sample_id bigint, m bigint, z float, sure boolean, hist array<bigint>"), "spikes")
+    return stored(known.mapInArrow(_judge_batches, "sample_id bigint, h1 bigint, h2 bigint, m bigint, z float, sure boolean, hist array<bigint>"), "spikes")
 
 
-def _gates(judged: DataFrame) -> DataFrame:
-    """Per metric the gate: REPORT_GATE, or wider where the metric's usual innovations reach further."""
-    bins = judged.where("hist IS NOT NULL").select("m", F.posexplode("hist").alias("bin", "n")).groupBy("m", "bin").agg(F.sum("n").alias("n"))
-    below = F.sum("n").over(W.partitionBy("m").orderBy("bin"))
-    reach = bins.select("m", "bin", (below / F.sum("n").over(W.partitionBy("m"))).alias("share")).where(F.col("share") >= USUAL_SHARE)
-    return reach.groupBy("m").agg(F.greatest(F.lit(REPORT_GATE), F.lit(USUAL_MARGIN) * (F.min("bin") + 1) / 2).alias("gate"))
+def _gates(judged: DataFrame, by: list[str], name: str, least: int = 0) -> DataFrame:
+    """Per group of at least so many readings the gate: REPORT_GATE, or wider where its usual innovations reach further."""
+    bins = judged.where("hist IS NOT NULL").where(F.col(by[0]).isNotNull()).select(*by, F.posexplode("hist").alias("bin", "n")).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    below, total = F.sum("n").over(W.partitionBy(*by).orderBy("bin")), F.sum("n").over(W.partitionBy(*by))
+    reach = bins.select(*by, "bin", total.alias("total"), (below / total).alias("share")).where((F.col("share") >= USUAL_SHARE) & (F.col("total") >= least))
+    return reach.groupBy(*by).agg(F.greatest(F.lit(REPORT_GATE), F.lit(USUAL_MARGIN) * (F.min("bin") + 1) / 2).alias(name))
 
 
 def scored_rows(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
     """(sample_id, z, sure, gate) of every row whose innovation passes the basic gate or that is a sure case."""
     judged = _judged(samples, metric_info)
-    return join_small(judged.where("sample_id IS NOT NULL"), _gates(judged), "m", "left").select("sample_id", "z", "sure", "gate")
+    found = join_small(judged.where("sample_id IS NOT NULL"), _gates(judged, ["m"], "_usual"), "m", "left")
+    found = join_small(found, _gates(judged, ["h1", "h2"], "_own", OWN_GATE_ROWS), ["h1", "h2"], "left")
+    return found.select("sample_id", "z", "sure", F.coalesce("_own", "_usual").alias("gate"))
 
 
 def faulty_rows(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
