@@ -1,12 +1,15 @@
 """Per-key statistics when a few keys hold most rows.
 
-Two algebraic levels, both combined on the map side by Spark's spilling hash aggregation:
+Every step is an algebraic aggregate with fixed-width states, so Spark keeps it in bounded hash tables on the map side, which
+spill, and shuffles partial states only:
 
-1. per (key, ts): count, sum, minimum, maximum and the newest value. The shuffle key holds ts, so one key's rows spread
-   over all tasks, and repeated deliveries collapse before the shuffle.
-2. per key: only one compact state per (map task, key) is shuffled, whatever the key's share of the rows.
+* per key: count, sum, minimum, maximum and last time. One state per (map task, key) moves, whatever the key's share.
+* distinct times per key: (key, ts) without any value is made unique first; that shuffle key holds ts, so a key's rows spread
+  over all tasks. Both counts come from one scan: each row appears once per purpose and is told apart by a flag.
+* the last value: rows at a key's last time are found by a join with the (small) result of the first step, and the newest of
+  them wins.
 
-Keys travel as two hashes; the strings come back by a join on the (much smaller) result.
+Keys travel as two hashes; the strings come back with the rows at the last time.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.model import series_hash, series_key
+from tidewell.runtime import join_small, stored
 
 
 def series_statistics(samples: DataFrame) -> DataFrame:
@@ -22,37 +26,35 @@ def series_statistics(samples: DataFrame) -> DataFrame:
 
     Counted are rows with ``is_deleted`` not true, a ts and a value that is neither NULL nor NaN. ``mean_value`` is over
     those rows. ``last_value`` is that of the greatest ts; among rows of that ts the greatest (txn_id, value) wins,
-    so ties give one defined result. Series without such a row do not appear; an empty table gives no row; columns
-    other than those named are ignored.
+    so ties give one defined result; a NULL txn_id ranks lowest. Series without such a row do not appear; an empty table
+    gives no row; columns other than those named are ignored.
     """
     h1, h2 = series_hash()
-    rows = samples.where(
-        "NOT coalesce(is_deleted, false) AND ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)"
-    ).select(h1.alias("_h1"), h2.alias("_h2"), "metric", "labels", "ts", "value", F.coalesce("txn_id", F.lit(-(2**63))).alias("_txn"))
-    per_ts = rows.groupBy("_h1", "_h2", "ts").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("value").alias("_sum"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
-        F.max(F.struct("_txn", "value")).alias("_last"),
+    rows = samples.where("NOT coalesce(is_deleted, false) AND ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)").select(
+        h1.alias("_h1"), h2.alias("_h2"), "metric", "labels", "ts", "value", F.coalesce("txn_id", F.lit(-(2**63))).alias("_txn")
     )
-    per_key = per_ts.groupBy("_h1", "_h2").agg(
-        F.sum("_n").alias("n_rows"),
-        F.count(F.lit(1)).alias("n_timestamps"),
-        F.min("_min").alias("min_value"),
-        F.max("_max").alias("max_value"),
-        (F.sum("_sum") / F.sum("_n")).alias("mean_value"),
-        F.max(F.struct("ts", "_last")).alias("_at"),
+    # one scan for both: the row's time as part of the key, and its value under the key alone
+    none, field = F.lit(None).cast("double"), lambda of_time, at, v, t: F.struct(F.lit(of_time).alias("of_time"), at.alias("at"), v.alias("v"), t.alias("t"))
+    twice = F.array(field(True, F.col("ts"), none, F.lit(None).cast("bigint")), field(False, F.lit(0).cast("bigint"), F.col("value"), F.col("ts")))
+    spread = rows.select("_h1", "_h2", F.explode(twice).alias("_x")).select("_h1", "_h2", "_x.*")
+    states = spread.groupBy("_h1", "_h2", "of_time", "at").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("t").alias("t"))
+    per_key = stored(
+        states.groupBy("_h1", "_h2").agg(
+            F.sum("n").alias("n_rows"),
+            F.count_if("of_time").alias("n_timestamps"),
+            F.min("lo").alias("min_value"),
+            F.max("hi").alias("max_value"),
+            (F.sum("s") / F.sum("n")).alias("mean_value"),
+            F.max("t").alias("last_ts"),
+        ),
+        "heavy",
     )
-    # first(metric), first(labels) per key: the same rows again, but one small state per key and map task
-    names = rows.groupBy("_h1", "_h2").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
-    return per_key.join(names, ["_h1", "_h2"]).select(
-        series_key().alias("series_key"),
-        "n_rows",
-        "n_timestamps",
-        "min_value",
-        "max_value",
-        "mean_value",
-        F.col("_at.ts").alias("last_ts"),
-        F.col("_at._last.value").alias("last_value"),
+    ends = per_key.select("_h1", "_h2", F.col("last_ts").alias("ts"))
+    at_end = stored(join_small(rows, ends, ["_h1", "_h2", "ts"]).select("_h1", "_h2", series_key().alias("series_key"), "value", "_txn"), "ends")
+    # newest transaction, then greatest value: two aggregates of fixed width instead of one over structs
+    newest = at_end.groupBy("_h1", "_h2", "_txn").agg(F.max("value").alias("value"))
+    last = newest.groupBy("_h1", "_h2").agg(F.max_by("value", "_txn").alias("last_value"))
+    named = at_end.select("_h1", "_h2", "series_key").distinct()
+    return per_key.join(last, ["_h1", "_h2"]).join(named, ["_h1", "_h2"]).select(
+        "series_key", "n_rows", "n_timestamps", "min_value", "max_value", "mean_value", "last_ts", "last_value"
     )

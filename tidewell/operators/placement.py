@@ -1,6 +1,6 @@
 """Consistent-hash placement of time windows, as DataFrame functions.
 
-The ring is a dimension table of nodes x virtual nodes; it is broadcast only behind a size check.
+The ring (nodes x virtual nodes, some hundred numbers) is part of the task that looks owners up; nothing is joined with it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators.resolve import newest
+from tidewell.operators.scan import bucket_of
 from tidewell.runtime import join_small
 
 #: Virtual nodes of a node, and the width of a placement window (6 hours).
@@ -85,7 +87,7 @@ def write_targets(df: DataFrame, nodes: list[str], replicas: int = 2, window_ms:
 
 def query_targets(spark: SparkSession, start: int, end: int, nodes: list[str], replicas: int = 2, window_ms: int = WINDOW_MS) -> DataFrame:
     """Distinct nodes that own any window of [start, end]."""
-    first, last = int(start / window_ms), int(end / window_ms)
+    first, last = bucket_of(start, window_ms), bucket_of(end, window_ms)
     keys = spark.range(first, last + 1).select(F.concat(F.lit("partition-"), F.col("id").cast("string")).alias("partition_key"))
     return with_owners(keys, nodes, replicas).select(F.explode("owners").alias("node_id")).distinct()
 
@@ -95,12 +97,32 @@ def is_local(node: str, owners: str = "owners"):
     return F.array_contains(owners, node)
 
 
-def merge_replicas(answers: list[DataFrame]) -> DataFrame:
-    """Union of what nodes answered (series_key, ts, value), one row per (series, ts); equal rows are replicas.
+def node_info(spark: SparkSession, nodes: dict[str, tuple[str, str]]) -> DataFrame:
+    """(node_id, address, status, n_points): the node table with each node's points on the ring; nodes are id -> (address, status)."""
+    listed = spark.createDataFrame([(n, *v) for n, v in nodes.items()], "node_id string, address string, status string")
+    points = ring(spark, list(nodes)).groupBy("node_id").agg(F.count(F.lit(1)).alias("n_points"))
+    return listed.join(points, "node_id")
 
-    Where replicas differ, the greatest value is kept, so the result does not depend on arrival order.
+
+def merge_replicas(answers: DataFrame) -> DataFrame:
+    """What nodes answered (series_key, ts, value, txn_id[, seq]) -> one row per (series, ts): the newest version.
+
+    Replicas that lag behind hold older versions; those lose, whatever their value. Equal versions are one row; the greatest
+    value of one version is kept, so the order of arrival never counts.
+    """
+    order = [c for c in ("txn_id", "seq", "value") if c in answers.columns]
+    return newest(answers, ["series_key", "ts"], order)
+
+
+def distributed_query(held: DataFrame, targets: list[str], failed: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
+    """Ask the target nodes for what they hold, leave out those that failed, and merge the answers.
+
+    ``held`` has a row per (node_id, sample): what each node stores, in one scan for all nodes. ``failed`` is node -> error.
+    Returns the merged rows and a report: nodes_queried, nodes_responded, errors, and whether the answer is complete.
+    Windows of which every owner failed are missing from the rows.
     """
-    both = answers[0]
-    for a in answers[1:]:
-        both = both.unionByName(a)
-    return both.groupBy("series_key", "ts").agg(F.max("value").alias("value"))
+    failed = {n: e for n, e in (failed or {}).items() if n in targets}
+    answering = [n for n in targets if n not in failed]
+    rows = merge_replicas(held.where(F.col("node_id").isin(answering)).drop("node_id")) if answering else merge_replicas(held.where("false").drop("node_id"))
+    report = {"nodes_queried": len(targets), "nodes_responded": len(answering), "errors": [f"{n}: {e}" for n, e in sorted(failed.items())], "complete": not failed}
+    return rows, report

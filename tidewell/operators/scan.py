@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bucket_of(ts: int, width_ms: int) -> int:
+    """The bucket of an instant, truncated toward zero: the one rule for what files are written by and pruned by."""
+    return abs(ts) // width_ms * (1 if ts >= 0 else -1)
+
+
+def bucket_column(width_ms: int, ts: str = "ts") -> Column:
+    """``bucket_of`` as a column."""
+    return F.expr(f"`{ts}` div {int(width_ms)}L")
+
+
 def scan_series(samples: DataFrame, key: str, start: int, end: int, bucket_ms: int | None = None) -> DataFrame:
     """Rows of exactly one series with ``start <= ts <= end``.
 
@@ -13,7 +23,7 @@ def scan_series(samples: DataFrame, key: str, start: int, end: int, bucket_ms: i
     """
     df = samples.where((F.col("series_key") == key) & F.col("ts").between(start, end))
     if bucket_ms and "time_bucket" in samples.columns:
-        df = df.where(F.col("time_bucket").between(start // bucket_ms, end // bucket_ms))
+        df = df.where(F.col("time_bucket").between(bucket_of(start, bucket_ms), bucket_of(end, bucket_ms)))
     return df
 
 

@@ -10,12 +10,20 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 
+#: File systems whose rename is atomic and refuses a taken name.
+ATOMIC_RENAME = ("hdfs", "viewfs", "abfs", "abfss", "ofs", "o3fs")
+
+
 class CommitConflict(RuntimeError):
     """Another writer took this number first."""
 
 
 class Folder:
-    """Paths under one root."""
+    """Paths under one root.
+
+    Where the file system offers no put-if-absent (object stores whose rename copies) ``put_new`` raises: two writers could
+    both believe that they committed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
@@ -44,12 +52,15 @@ class Folder:
 
     def put_new(self, name: str, content: dict) -> None:
         """Write a document that must not exist: staged whole, then moved to its name, so no reader sees half of it."""
+        scheme = self.fs.getScheme()
+        if scheme != "file" and scheme not in ATOMIC_RENAME:
+            raise ValueError(f"{scheme}: offers no atomic put-if-absent; keep the log on one of {', '.join(ATOMIC_RENAME)} or a local folder")
         staged, target = f"staged/{uuid.uuid4().hex}", self.path(name)
         self.fs.mkdirs(target.getParent())
         out = self.fs.create(self.path(staged), False)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        if self.fs.getScheme() == "file":
+        if scheme == "file":
             local = urlparse(self.root).path if "://" in self.root or self.root.startswith("file:") else self.root
             try:
                 os.link(f"{local}/{staged}", f"{local}/{name}")  # fails if the name is taken; a local rename would replace
