@@ -43,7 +43,7 @@ def order_slices(df: DataFrame, order: str, rows_per_slice: int, spread_by: list
     else:  # halves, since the difference itself does not fit
         slice_ = F.expr(f"(shiftright(`{order}`, 1) - {low >> 1}L) div {max(1, first >> 1)}L")
     cut = df.withColumn("_slice", slice_).withColumn("_salt", F.lit(0))
-    for _ in range(4):
+    for _ in range(3):
         cells = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).where(F.col("n") > 2 * least)
         full = [(r[0], r.lo, width(r.lo, r.hi, r.n), -(-r.n // least) if r.lo == r.hi else 1) for r in cells.collect()]  # at most MOST_SLICES / 2 rows
         if not full:
@@ -73,7 +73,7 @@ def running_watermark(df: DataFrame, source: str, order: str, event_time: str, r
     ahead = W.partitionBy(source).orderBy("_slice").rangeBetween(W.unboundedPreceding, -1)
     marks = cut.groupBy(*key).agg(F.max(event_time).alias("_top")).select(*key, F.max("_top").over(ahead).alias("_carry"))
     # rows of one order do not count as earlier than each other, so a salted tie needs nothing but the carry
-    within = W.partitionBy(*key).orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(*key).orderBy(F.greatest(F.col(order), F.lit(1 - 2**63))).rangeBetween(W.unboundedPreceding, -1)
     return cut.join(marks.hint("shuffle_hash"), key).withColumn("watermark", F.greatest(F.col("_carry"), F.max(event_time).over(within))).drop("_slice", "_salt", "_carry")
 
 

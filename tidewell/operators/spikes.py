@@ -3,11 +3,11 @@
 A local-level state-space model is filtered per series (a Kalman filter; counters carry their usual step as drift).
 A reading whose standardised innovation passes the gate is flagged and its update withheld. A run of flagged
 readings that agree with each other for ``SHIFT_RUN`` readings is a lasting change of level (or a restart): the state
-moves there and the run is no fault. A run of (almost) equal raw readings in a series that otherwise moves is frozen; this
-is counted before the filter runs, in place of a test of the innovations' variance.
+moves there and the run is no fault. Where the variance of the innovations vanishes over ten readings in a series that otherwise
+moves, the stretch is frozen; a run of (almost) equal readings there gives its exact ends.
 
-Scale: a series' readings are cut into shards of about ``SHARD_ROWS`` rows, at boundaries found from row counts per
-(series, ten minutes); neighbouring shards exchange ``HALO_ROWS`` readings, with which the filter settles and runs
+Scale: a series' readings are cut into shards of ``SHARD_ROWS`` rows by their place in the series, known from row counts per
+(series, ten minutes) and numbers inside; neighbouring shards exchange ``HALO_ROWS`` readings, with which the filter settles and runs
 across a boundary are completed. No task holds more than a shard of a series. A task filters its shards side by side:
 one numpy step advances all of them.
 
@@ -107,27 +107,25 @@ def _profile(rows: DataFrame) -> DataFrame:
 
 
 def _shards(rows: DataFrame, shard_rows: int, halo_rows: int) -> DataFrame:
-    """Rows with ``shard``, ``core`` and ``many`` (series of several shards); rows near a boundary appear once more in each shard whose halo they are.
+    """Rows with ``shard``, ``core`` and ``many`` (series of several shards); rows near a boundary appear once more in the shard whose halo they are.
 
-    Row counts per (series, bucket) are summed along the series; a bucket belongs to the shard in which its
-    first row falls, and to every shard that begins or ends within ``halo_rows`` rows of it.
+    Row counts per (series, bucket) are summed along the series, and rows are numbered inside their bucket, so every row's
+    place in its series is known without ordering the series in one task. A row goes to the shard its place falls in,
+    and to a neighbour only if it lies within ``halo_rows`` rows of it, however many rows a bucket has.
     """
     rows = rows.withColumn("bucket", F.expr(f"ts div {BUCKET_MS}L"))
-    counts = rows.groupBy("h1", "h2", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    key = ["h1", "h2", "bucket"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     ahead = W.partitionBy("h1", "h2").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    at = counts.select("h1", "h2", "bucket", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("c"), F.sum("n").over(W.partitionBy("h1", "h2")).alias("all"))
+    at = counts.select(*key, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("c"), F.sum("n").over(W.partitionBy("h1", "h2")).alias("all"))
     # only series of more than one shard are cut
-    cut = at.where(F.col("all") > shard_rows).select(
-        "h1",
-        "h2",
-        "bucket",
-        F.expr(f"c div {shard_rows}L").alias("own"),
-        F.expr(f"sequence(greatest(c - {halo_rows}L, 0L) div {shard_rows}L, (c + n - 1 + {halo_rows}L) div {shard_rows}L)").alias("of"),
-    )
-    wide = rows.join(cut.hint("merge"), ["h1", "h2", "bucket"], "left").drop("bucket").withColumn("many", F.col("own").isNotNull())
-    return wide.withColumn("shard", F.explode(F.coalesce("of", F.array(F.lit(0).cast("bigint"))))).withColumn(
-        "core", F.col("shard") == F.coalesce("own", F.lit(0))
-    ).drop("of", "own")
+    cut = at.where(F.col("all") > shard_rows).select(*key, "c")
+    # the order is total, so that a task that runs again numbers its rows alike; join and numbering share one exchange
+    inside = F.row_number().over(W.partitionBy(*key).orderBy("ts", "value", "sample_id"))
+    wide = rows.join(cut.hint("merge"), key, "left").withColumn("_at", F.col("c") + inside - 1).drop("bucket", "c").withColumn("many", F.col("_at").isNotNull())
+    own = F.expr(f"coalesce(_at, 0L) div {shard_rows}L")
+    of = F.expr(f"sequence(greatest(coalesce(_at, 0L) - {halo_rows}L, 0L) div {shard_rows}L, (coalesce(_at, -{halo_rows}L) + {halo_rows}L) div {shard_rows}L)")
+    return wide.withColumn("_own", own).withColumn("shard", F.explode(of)).withColumn("core", F.col("shard") == F.col("_own")).drop("_at", "_own")
 
 
 # --- numpy: many shards side by side -----------------------------------------------------------------------------------
@@ -254,17 +252,50 @@ class _Distinct:
         floor = np.where(self.kind, 0.05 * np.abs(drift) + 1e-9, floor)
         return np.maximum(s1, floor) ** 2, np.maximum(s3, floor) ** 2
 
-    def runs(self, v1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which readings (almost) repeat the one before, and which lie in a run of at least FROZEN_RUN such."""
-        ug, uv, uts, log = self.ug, self.uv, self.uts, self.log
-        tol = 0.02 * np.sqrt(v1)[ug]
+    def quiet(self, drift: np.ndarray, v1: np.ndarray) -> np.ndarray:
+        """Readings in a window of FROZEN_RUN in which the variance of the innovations vanishes.
+
+        The innovations are those of the model without measurement noise, whose gain is one: steps less the drift. (With a
+        smaller gain the level creeps up on a frozen value, and the first innovations of a stretch stay large.)
+        """
+        n, w = len(self.uv), FROZEN_RUN - 1
+        out = np.zeros(n, dtype=bool)
+        if n <= w:
+            return out
+        tol = self.tolerance(v1)
+        e = np.zeros(n)
+        e[1:] = np.diff(self.uv) - drift[self.ug[1:]] * self.kind[self.ug[1:]]
+        inside = np.flatnonzero(self.ug[w:] == self.ug[:-w]) + w  # last readings of windows within one shard
+        windows = np.lib.stride_tricks.sliding_window_view(e[1:], w)
+        with np.errstate(all="ignore"):
+            still = inside[windows[inside - w].var(axis=1) <= 4 * tol[inside] ** 2]
+        # a window marks its innovations' readings and the one before
+        mark = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(mark, still - w, 1)
+        np.add.at(mark, still + 1, -1)
+        return np.cumsum(mark)[:n] > 0
+
+    def tolerance(self, v1: np.ndarray) -> np.ndarray:
+        """Largest step between readings that are almost the same."""
+        tol = 0.02 * np.sqrt(v1)[self.ug]
+        return np.minimum(np.where(self.log[self.ug], tol * np.abs(self.uv), tol), 1e-3 * np.abs(self.uv) + 1e-9)
+
+    def runs(self, drift: np.ndarray, v1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which readings (almost) repeat the one before, and which lie in a frozen stretch.
+
+        Stretches are sought by ``quiet``; there a run of at least FROZEN_RUN times of (almost) one value must stand, which
+        tells a frozen sensor from a counter that climbs by equal steps, and gives the stretch its exact ends.
+        """
+        ug, uv, uts = self.ug, self.uv, self.uts
         still = np.zeros(len(uv), dtype=bool)
-        still[1:] = (ug[1:] == ug[:-1]) & (np.abs(uv[1:] - uv[:-1]) <= np.minimum(np.where(log[ug], tol * np.abs(uv), tol), 1e-3 * np.abs(uv) + 1e-9)[1:])
-        head_of = np.maximum.accumulate(np.where(~still, np.arange(len(uv)), 0)) if len(uv) else np.zeros(0, dtype=np.int64)
+        still[1:] = (ug[1:] == ug[:-1]) & (np.abs(np.diff(uv)) <= self.tolerance(v1)[1:])
+        if not len(uv):
+            return still, still
+        head_of = np.maximum.accumulate(np.where(~still, np.arange(len(uv)), 0))
         fresh_ts = np.ones(len(uv), dtype=np.int64)
         fresh_ts[1:] = (ug[1:] != ug[:-1]) | (uts[1:] != uts[:-1])
-        length = np.bincount(head_of, weights=fresh_ts, minlength=len(uv)) if len(uv) else np.zeros(0)
-        return still, length[head_of] >= FROZEN_RUN
+        length = np.bincount(head_of, weights=fresh_ts, minlength=len(uv))
+        return still, (length[head_of] >= FROZEN_RUN) & self.quiet(drift, v1)
 
     def count(self, which: np.ndarray) -> np.ndarray:
         return np.bincount(self.ug, weights=which, minlength=self.k)
@@ -281,7 +312,8 @@ def _natural(n: np.ndarray, outside: np.ndarray, repeats: np.ndarray) -> np.ndar
 def tally(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, skewed: np.ndarray, impossible: np.ndarray, core: np.ndarray) -> dict[str, np.ndarray]:
     """What a shard tells about its series: mergeable counts of its own readings, and its noise outside of runs."""
     d = _Distinct(g, ts, v, counter, skewed, impossible)
-    still, in_run = d.runs(d.variances(*d.noise(d.ok))[0])
+    drift, s1, s3 = d.noise(d.ok)
+    still, in_run = d.runs(drift, d.variances(drift, s1, s3)[0])
     own = core[d.u]
     moving = d.ok & ~in_run
     drift, s1, s3 = d.noise(moving)
@@ -302,7 +334,7 @@ def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, ske
     level = np.where(log, np.log(1.02 * np.abs(d.med) + 1e-300), d.med)
     # steps between usable neighbours give noise, drift of counters, and how fast the level wanders
     drift, s1, s3 = d.noise(ok)
-    still, in_run = d.runs(d.variances(drift, s1, s3)[0])
+    still, in_run = d.runs(drift, d.variances(drift, s1, s3)[0])
     outside = d.count(~in_run)
     natural = _natural(n, outside, d.count(still & ~in_run))
     lent = np.zeros(k, dtype=bool)
@@ -313,7 +345,7 @@ def judge(g: np.ndarray, ts: np.ndarray, v: np.ndarray, counter: np.ndarray, ske
         lent = known & ~np.isnan(of["s1"]) & ~natural & (2 * outside < n)
         drift, s1, s3 = (np.where(lent, of[c], own) for c, own in (("drift", drift), ("s1", s1), ("s3", s3)))
         if lent.any():
-            in_run = d.runs(d.variances(drift, s1, s3)[0])[1]
+            in_run = d.runs(drift, d.variances(drift, s1, s3)[0])[1]
     # a run of equal readings in a series that otherwise moves; such readings are withheld from the filter like any fault
     frozen = in_run & ~natural[ug] & ok
     usable = ok & ~frozen
