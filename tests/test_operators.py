@@ -96,7 +96,7 @@ def test_ring(spark):
 def test_replica_merge(spark):
     a, b = points(spark, (0, 1), (1, 2)), points(spark, (1, 2), (2, 3))
     cols = ["series_key", "ts", "value"]
-    assert rows(placement.merge_replicas([a.select(cols), b.select(cols)]), "ts", "value") == [(0, 1.0), (1, 2.0), (2, 3.0)]
+    assert rows(placement.merge_replicas(a.select(cols).unionByName(b.select(cols))), "ts", "value") == [(0, 1.0), (1, 2.0), (2, 3.0)]
 
 
 def test_snapshot_near_the_head_resolves_the_whole_table(spark, tmp_path):

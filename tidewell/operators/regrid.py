@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.model import series_key
+from tidewell.model import series_hash, series_key, time_ms
 from tidewell.runtime import join_small
 
 SHARD_SLOTS = 2048
@@ -20,14 +20,29 @@ SHARD_SLOTS = 2048
 MAX_FILL = 10
 
 
+def _flat(requests: DataFrame, *more: str) -> DataFrame:
+    """One row per reading: (_now, more..., metric, labels, ts, value); timestamp 0 means ``received_at``."""
+    now = time_ms("received_at" if dict(requests.dtypes)["received_at"] == "timestamp_ntz" else "to_timestamp_ntz(to_utc_timestamp(received_at, current_timezone()))")
+    each = requests.select(now.alias("_now"), *more, F.explode("timeseries").alias("_s"))
+    flat = each.select("_now", *more, F.col("_s.metric").alias("metric"), F.col("_s.labels").alias("labels"), F.explode("_s.samples").alias("_p"))
+    return flat.select("_now", *more, "metric", "labels", F.when(F.col("_p.timestamp") == 0, F.col("_now")).otherwise(F.col("_p.timestamp")).alias("ts"), F.col("_p.value").alias("value"))
+
+
 def readings(requests: DataFrame) -> DataFrame:
-    """Flatten write requests to (metric, labels, ts, value); timestamp 0 means ``received_at``."""
-    now = F.expr("timestampdiff(MICROSECOND, TIMESTAMP'1970-01-01 00:00:00Z', received_at) div 1000") if dict(requests.dtypes)["received_at"] == "timestamp" else F.expr(
-        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', received_at) div 1000"
+    """Flatten write requests to (metric, labels, ts, value)."""
+    return _flat(requests).drop("_now")
+
+
+def arrivals(requests: DataFrame) -> DataFrame:
+    """Readings with their source and arrival: (grp, source, series, ts, value, arrived_ms, arrival).
+
+    ``grp`` is the metric, ``source`` the agent, ``series`` two hashes of the series key, ``arrival`` orders by time, then request.
+    """
+    h1, h2 = series_hash()
+    flat = _flat(requests, "request_id", "agent")
+    return flat.select(
+        F.col("metric").alias("grp"), F.col("agent").alias("source"), F.struct(h1.alias("h1"), h2.alias("h2")).alias("series"), "ts", "value", F.col("_now").alias("arrived_ms"), F.struct(F.col("_now").alias("at"), F.col("request_id").alias("id")).alias("arrival")
     )
-    each = requests.select(now.alias("_now"), F.explode("timeseries").alias("_s"))
-    flat = each.select("_now", F.col("_s.metric").alias("metric"), F.col("_s.labels").alias("labels"), F.explode("_s.samples").alias("_p"))
-    return flat.select("metric", "labels", F.when(F.col("_p.timestamp") == 0, F.col("_now")).otherwise(F.col("_p.timestamp")).alias("ts"), F.col("_p.value").alias("value"))
 
 
 def knots(points: DataFrame, metric_info: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ USUAL_SHARE = 0.985
 USUAL_MARGIN = 1.4
 #: Readings from which on a series' own innovations say what is usual.
 OWN_GATE_ROWS = 1000
-#: What a unit can measure. Units not named are unbounded.
+#: What a unit can measure by its definition. Units not named are unbounded; ``min_value`` and ``max_value`` of
+#: metric_info, where it has such columns, take precedence.
 UNIT_BOUNDS = {
     "percent": (0.0, 100.0),
     "ratio": (0.0, 1.0),
@@ -63,7 +64,8 @@ _BINS = 80
 
 def _readings(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
     """Live readings with hashes of the series, a metric number, its kind and its bounds."""
-    info = metric_info.where("metric IS NOT NULL").groupBy("metric").agg(F.max("kind").alias("_kind"), F.max("unit").alias("_unit"))
+    own = {c: F.max(c).cast("double") if c in metric_info.columns else F.lit(None).cast("double") for c in ("min_value", "max_value")}
+    info = metric_info.where("metric IS NOT NULL").groupBy("metric").agg(F.max("kind").alias("_kind"), F.max("unit").alias("_unit"), own["min_value"].alias("_min"), own["max_value"].alias("_max"))
     h1, h2 = series_hash()
     rows = samples.where("NOT coalesce(is_deleted, false) AND ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     low = F.lit(None).cast("double")
@@ -71,7 +73,7 @@ def _readings(samples: DataFrame, metric_info: DataFrame) -> DataFrame:
     for unit, (a, b) in UNIT_BOUNDS.items():
         low = F.when(F.col("_unit") == unit, F.lit(a)).otherwise(low)
         high = F.when(F.col("_unit") == unit, F.lit(b)).otherwise(high)
-    info = info.select("metric", (F.coalesce("_kind", F.lit("gauge")) == "counter").alias("_counter"), low.alias("_low"), high.alias("_high"))
+    info = info.select("metric", (F.coalesce("_kind", F.lit("gauge")) == "counter").alias("_counter"), F.coalesce("_min", low).alias("_low"), F.coalesce("_max", high).alias("_high"))
     slim = rows.select("sample_id", "metric", "ts", "value", h1.alias("h1"), h2.alias("h2"))
     return join_small(slim, info, "metric", "left").select(
         "sample_id",

@@ -193,6 +193,27 @@ def write_log_segments(samples: DataFrame, path: str, segment_bytes: int = SEGME
     return samples.select(F.spark_partition_id().alias("task"), "series_key", "ts", "value", "txn_id", "is_deleted").mapInArrow(go, "file string, samples bigint, bytes bigint")
 
 
+def write_sorted_files(samples: DataFrame, path: str, magic: int = 0) -> DataFrame:
+    """Write every partition of (series_key, ts, value, txn_id, is_deleted) as one sorted file; returns (file, samples).
+
+    Give it partitions that fit a task's memory, best cut by range of (series_key, ts).
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        where.create_dir(root, recursive=True)
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if rows:
+            name = f"{root}/{rows[0][0]:06d}.sst"
+            with where.open_output_stream(name) as out:
+                out.write(sorted_file([(k, t, float("nan") if v is None else v, x, bool(d)) for _, k, t, v, x, d in rows], magic=magic))
+            yield pa.record_batch([pa.array([name]), pa.array([len(rows)], pa.int64())], names=["file", "samples"])
+
+    return samples.select(F.spark_partition_id().alias("task"), "series_key", "ts", "value", "txn_id", "is_deleted").mapInArrow(go, "file string, samples bigint")
+
+
 def truncate_log(spark: SparkSession, path: str, keep_from: int) -> int:
     """Delete the segments of a folder whose samples are all of transactions before ``keep_from``; returns how many."""
     from tidewell.sources.files import Folder
