@@ -25,8 +25,9 @@ WINDOW = 160
 OVERLAP = 48
 #: Windows and stretches that advance side by side.
 SIDE = 384
-#: Emission margin to "outside" below which a whole stretch is outside without decoding.
-NEAR = -3.0
+#: Emission margin to "outside" of characters that are outside for certain, and how many of them in a row part two values.
+NEAR = -8.0
+RUN = 8
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 Span = tuple[str, list[tuple[int, int]]]
 
@@ -36,6 +37,12 @@ def load(path: str) -> dict[str, np.ndarray]:
     with np.load(path) as f:
         w = {k: f[k].astype(np.float32) if f[k].dtype == np.float16 else f[k] for k in f.files}
     w["trans"] = w["t"] + tagger.forbidden()
+    # the tagger works out sigmoids as tanh of half the argument: the halves are taken once, here
+    h = w["hf"].shape[0]
+    for c in ("xf", "hf", "xb", "hb"):
+        w[c] = w[c].copy()
+        w[c][:, : 3 * h] *= 0.5
+    w["halved"] = np.bool_(True)
     return w
 
 
@@ -72,24 +79,37 @@ def tag_stretches(pieces: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np
             after = z - a if z == n else z - a - (z - min(q for q, _ in _windows_of(n) if q > a)) // 2
             scores[k][a + before : a + after] = e[before:after, b]
     out = [np.zeros(len(c), dtype=np.int8) for c in pieces]
-    # where no tag comes near to "outside" no path can leave it
-    order = sorted((k for k, e in enumerate(scores) if (e[:, 1:].max(axis=1) - e[:, 0]).max() > NEAR), key=lambda k: len(pieces[k]))
+    parts = [(k, a, z) for k, e in enumerate(scores) for a, z in _doubtful(e)]
+    parts.sort(key=lambda p: p[2] - p[1])
     at = 0
-    while at < len(order):
+    while at < len(parts):
         # similar lengths together, and not too many long ones
-        most = len(pieces[order[min(at + SIDE, len(order)) - 1]])
-        some = order[at : at + max(1, min(SIDE, SIDE * 400 // max(most, 1)))]
+        most = parts[min(at + SIDE, len(parts) - 1)][2] - parts[min(at + SIDE, len(parts) - 1)][1]
+        some = parts[at : at + max(1, min(SIDE, SIDE * 400 // max(most, 1)))]
         at += len(some)
-        n = np.array([len(pieces[k]) for k in some])
+        n = np.array([z - a for _, a, z in some])
         e = np.zeros((int(n.max()), len(some), tagger.K), dtype=np.float32)
-        for b, k in enumerate(some):
-            e[: n[b], b] = scores[k]
+        for b, (k, a, z) in enumerate(some):
+            e[: n[b], b] = scores[k][a:z]
         tags = tagger.viterbi(e, n, w["trans"])
-        for b, k in enumerate(some):
-            out[k] = tags[: n[b], b]
+        for b, (k, a, z) in enumerate(some):
+            out[k][a:z] = tags[: n[b], b]
     return out
 
 
+def _doubtful(e: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a stretch to be decoded: those between runs of ``RUN`` characters at each of which "outside" leads by more than -NEAR.
+
+    To lead on through such a run a value would have to lose RUN x -NEAR at least, more than two new beginnings cost.
+    """
+    near = np.flatnonzero(e[:, 1:].max(axis=1) - e[:, 0] > NEAR)
+    if not len(near):
+        return []
+    cut = np.flatnonzero(np.diff(near) > RUN)
+    first, last = near[np.concatenate(([0], cut + 1))], near[np.concatenate((cut, [len(near) - 1]))]
+    return [(max(0, int(a) - 1), min(len(e), int(z) + 2)) for a, z in zip(first, last, strict=True)]
+
+
 @lru_cache(maxsize=4096)
 def _windows_of(n: int) -> tuple[tuple[int, int], ...]:
     return tuple(_windows(n))

@@ -59,15 +59,16 @@ def forbidden() -> np.ndarray:
     return bad
 
 
-def _gates(z: np.ndarray, h: int) -> None:
+def _gates(z: np.ndarray, h: int, halved: bool = False) -> None:
     """In place: sigmoid of the first three quarters (as a tanh, which is faster), tanh of the last."""
-    z[:, : 3 * h] *= 0.5
+    if not halved:
+        z[:, : 3 * h] *= 0.5
     np.tanh(z, out=z)
     z[:, : 3 * h] *= 0.5
     z[:, : 3 * h] += 0.5
 
 
-def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None) -> np.ndarray:
+def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None, halved: bool = False) -> np.ndarray:
     """One direction over windows x (time, batch) of classes; returns hidden states (time, batch, hidden)."""
     steps, batch = x.shape
     h = wh.shape[0]
@@ -78,7 +79,7 @@ def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None)
         np.matmul(s, wh, out=z)
         np.take(wx, x[t], axis=0, out=given, mode="clip")
         z += given
-        _gates(z, h)
+        _gates(z, h, halved)
         before = c.copy() if keep is not None else None
         c *= z[:, h : 2 * h]
         np.multiply(z[:, :h], z[:, 3 * h :], out=added)
@@ -93,8 +94,9 @@ def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None)
 
 def emissions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """Tag scores (time, batch, tag) of windows x (time, batch)."""
-    f = run(x, w["xf"], w["hf"])
-    b = run(x[::-1], w["xb"], w["hb"])[::-1]
+    halved = bool(w.get("halved", False))
+    f = run(x, w["xf"], w["hf"], halved=halved)
+    b = run(x[::-1], w["xb"], w["hb"], halved=halved)[::-1]
     h = f.shape[2]
     return f @ w["o"][:h] + b @ w["o"][h:] + w["c"]
 
