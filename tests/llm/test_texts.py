@@ -79,7 +79,7 @@ def test_leaks(spark):
     items = [(1, ITEM, 1), (2, None, 1), (3, "", 1), (4, "too short", 1), (1, ITEM, 2)]
     want = [(d, 1) for d in (1, 3, 7, 8, 9, 10, 11, 12, 15)]
     assert found(spark, docs, items) == want
-    assert found(spark, docs + docs[:1], items, block_items=2) == want
+    assert found(spark, docs + docs[:1], items, block_bytes=2000) == want
     assert found(spark, docs, items[1:4]) == [] and found(spark, docs, []) == [] and found(spark, [], items) == []
 
 
@@ -107,12 +107,27 @@ def test_passages_left_with_one_rare_word_leak(spark):
 def test_close_words_and_masks():
     assert leaks.close(leaks.fold("Braskdormstead"), leaks.fold("Bnaskdormstcad")) and leaks.close("abcdef", "abdef")
     assert not leaks.close("abcd", "abd") and not leaks.close(leaks.fold("Orvvignhaven"), leaks.fold("Orvvignburn"))
-    ids = np.arange(8)
-    a = leaks.Index.seeds(ids, np.ones(8, dtype=bool))
-    ids2 = ids.copy()
-    ids2[3] = -1  # an unknown word under an ignored position
-    assert set(leaks.Index.seeds(ids2, np.ones(8, dtype=bool))) & set(a)
-    assert not len(leaks.Index.seeds(ids, np.zeros(8, dtype=bool)))
+    ids = np.arange(8).astype(np.uint64)
+    a = leaks.placed(ids)[0]
+    other = ids.copy()
+    other[3] = 99  # an exchanged word under an ignored position
+    assert set(leaks.placed(other)[0].tolist()) & set(a.tolist())
+    assert not len(leaks.placed(ids, np.zeros(8, dtype=bool))[0])
+
+
+def test_a_passage_shared_by_any_number_of_items(spark):
+    """Items with a passage of 30 words in common, among others, all leak, whatever the blocks."""
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgkmprstz" for b in ("arn", "elt", "isk", "ovv", "ump", "yth", "orf", "ald")]
+    word = lambda: "".join(rng.choices(syllables, k=2))
+    for many in (4, 13, 200):
+        stem = [word() for _ in range(30)]
+        items = [(i, " ".join(stem + [word() for _ in range(10)] + ["Which?"]), 1) for i in range(many)] + [(1000 + i, " ".join(word() for _ in range(40)), 1) for i in range(50)]
+        docs = [(1, FILL + " " + " ".join(stem[5:25]) + " " + FILL, None), (2, FILL, None)]
+        want = [(1, i) for i in range(many)]
+        assert found(spark, docs, items) == want
+        if many == 13:
+            assert found(spark, docs, items, block_bytes=20_000) == want
 
 
 def test_tagger_gradient():

@@ -2,35 +2,45 @@
 
 Words are hashed after a fold that maps letters which scanners confuse to one class. Fixed masks pick some of a few
 successive words and ignore the others, so a seed survives an exchanged word under an ignored position. Seeds of the test
-items and of the pages are joined by hash; around hits a page is aligned with the item word by word (tolerant of
-misread letters, missing and exchanged words), and a pair is reported if the alignment holds enough successive words.
+items and of the pages are joined by hash; where enough of them agree, the page is aligned with the item word by word
+(tolerant of misread letters, missing and exchanged words), and a pair is reported if the alignment holds enough successive words.
 
-The pages stream through once per block of items; a block's seeds are bounded by ``BLOCK_ITEMS`` and sent to the
-executors, so nothing of the corpus is shuffled or collected, and more items only mean more blocks.
+Items of equal words are one entry. Which seeds an entry keeps is decided once, over all entries: those with a word that few
+entries hold, and wherever any two lost words of a passage would leave fewer than ``LEAST_SEEDS`` of those, all seeds of the
+passage, however common they are. So passages shared by any number of items are found, and under all their ids.
+
+The entries with their seeds are written to the shared folder in blocks bounded by bytes. Pages are read, ordered and hashed
+once; a worker then goes through the blocks with a batch of pages. Nothing of the corpus is shuffled, no item is sent through the
+driver, and a block is all that a worker holds of the items. The ids come back by a join on the pairs found.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.layout import boxes, flow
+from tidewell.runtime import join_small, scratch_path, stored
 
-BLOCK_ITEMS = 5_000
+#: Bytes of words and seeds in a block of items.
+BLOCK_BYTES = 64 * 2**20
 MIN_WORDS = 15
 #: Of the words of a passage one in so many may be missing or exchanged.
 ONE_IN = 6
 MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4), (0, 2, 4))
-#: Seeds that more items share are kept only for the passages that have too few others.
-MAX_SHARED = 12
-#: Seeds that a passage of MIN_WORDS keeps when any two of its words are lost; and how many seeds a word lies in at most.
+#: A word is rare if at most so many entries hold it, or one in RARE_SHARE of all if that is more. Words that are not rare are at
+#: most RARE_SHARE times the mean number of words of an item, so their list is bounded.
+RARE_ENTRIES = 12
+RARE_SHARE = 1_000
+#: Seeds that a passage of MIN_WORDS keeps when any two of its words are lost, and that must agree before a page is aligned.
 LEAST_SEEDS = 3
 _MOST_COVERING = sum(m[-1] + 1 for m in MASKS)
 #: Words of the page that may lie between two words of a passage (an advert that could not be told by its box).
@@ -82,107 +92,169 @@ def close(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-class Index:
-    """Seeds and words of one block of items; items of equal words are one entry with all their ids.
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def placed(words: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and mask numbers of all seeds over word hashes; seeds with a picked word that is not ``known`` are left out."""
+    hashes, places, masks = [], [], []
+    for n, mask in enumerate(MASKS):
+        m = len(words) - mask[-1]
+        if m <= 0:
+            continue
+        at = np.arange(m) if known is None else np.flatnonzero(np.logical_and.reduce([known[o : o + m] for o in mask]))
+        h = np.full(len(at), n + 1, dtype=np.uint64)
+        for o in mask:
+            h = (h ^ words[at + o]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        hashes.append(h)
+        places.append(at)
+        masks.append(np.full(len(at), n))
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(masks)
+
+
+def kept_seeds(words: list[str], common: set[str] | frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the seeds that an entry keeps: those with a word that is not ``common``, and what passages need beside them."""
+    h, at, mask = placed(np.array([word_hash(w) for w in words], dtype=np.uint64))
+    rare = np.array([w not in common for w in words])
+    keep = rare[at[:, None] + np.array(MASKS)[mask]].any(axis=1)
+    keep |= _needed(len(words), at, mask, keep)
+    return h[keep], at[keep]
+
+
+def _needed(m: int, at: np.ndarray, mask: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which seeds of an entry of m words lie in a passage that two lost words may leave with too few kept seeds."""
+    last = at + np.array([x[-1] for x in MASKS])[mask]
+    out = np.zeros(len(at), dtype=bool)
+    words = np.arange(m)
+    cover = ((at[:, None] <= words) & (words <= last[:, None])).astype(np.float32)
+    for w in range(m - MIN_WORDS + 1):
+        inside = (at >= w) & (last < w + MIN_WORDS)
+        c = cover[inside & kept, w : w + MIN_WORDS]
+        if len(c) - 2 * _MOST_COVERING >= LEAST_SEEDS:
+            continue
+        both = c.T @ c
+        d = np.diagonal(both)
+        if (len(c) - d[:, None] - d + both).min() < LEAST_SEEDS:
+            out |= inside
+    return out
 
-    Seeds with a rare word that few entries share are kept for every entry. Where two of a passage's words may go such
-    that fewer than ``LEAST_SEEDS`` of those are left, all its seeds are kept, however common they are.
-    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+class Block:
+    """Entries of one block with their words and kept seeds."""
+
+    def __init__(self, entries: list[int], words: list[list[str]], hashes: list[np.ndarray], places: list[np.ndarray]):
+        self.entries = entries
         self.number: dict[str, int] = {}
-        entries: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for name, text in items:
-            words = [fold(w) for w in _WORD.findall(text or "")]
-            if len(words) >= MIN_WORDS:
-                entries[tuple(self.number.setdefault(w, len(self.number)) for w in words)].add(name)
-        self.items = [(sorted(names), np.array(ws)) for ws, names in entries.items()]
+        self.items = [np.array([self.number.setdefault(w, len(self.number)) for w in ws], dtype=np.int64) for ws in words]
         self.words = list(self.number)
-        counted = Counter(w for _, ws in self.items for w in set(ws.tolist()))
-        shared = np.array([counted[i] for i in range(len(self.words))] or [0])
-        #: words of few items, of which a seed has one at least; words of the common seeds that had to be kept join them
-        self.rare = shared <= max(3, len(self.items) // 40)
-        self.telling = self.rare.copy()
-        parts = [self.placed(ws, np.ones(len(self.words), dtype=bool)) for _, ws in self.items]
-        if not parts:
-            self.hashes, self.entry = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-            self.at = self.entry
-            return
-        k = np.repeat(np.arange(len(parts)), [len(h) for h, _, _ in parts])
-        h, at, mask = (np.concatenate(x) for x in zip(*parts, strict=True))
-        first = np.concatenate(([0], np.cumsum([len(ws) for _, ws in self.items])))
-        picked = np.concatenate([ws for _, ws in self.items])[(first[k] + at)[:, None] + np.array(MASKS)[mask]]
-        _, of = np.unique(h, return_inverse=True)
-        entries_of = np.bincount(np.unique(of * len(parts) + k) // len(parts))
-        keep = self.rare[picked].any(axis=1) & (entries_of[of] <= MAX_SHARED)
-        ends = np.cumsum([len(p[0]) for p in parts])
-        for n, (_, ws) in enumerate(self.items):
-            mine = slice(ends[n] - len(parts[n][0]), ends[n])
-            keep[mine] |= self._needed(len(ws), at[mine], mask[mine], keep[mine])
-        common = keep & ~self.rare[picked].any(axis=1)
-        self.telling[picked[common, shared[picked[common]].argmin(axis=1)]] = True
-        order = np.flatnonzero(keep)[np.argsort(h[keep], kind="stable")]
-        self.hashes, self.entry, self.at = h[order], k[order], at[order]
-
-    @staticmethod
-    def _needed(m: int, at: np.ndarray, mask: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        """Which seeds of an item of m words lie in a passage that two lost words may leave with too few kept seeds."""
-        last = at + np.array([x[-1] for x in MASKS])[mask]
-        out = np.zeros(len(at), dtype=bool)
-        words = np.arange(m)
-        cover = ((at[:, None] <= words) & (words <= last[:, None])).astype(np.float32)
-        for w in range(m - MIN_WORDS + 1):
-            inside = (at >= w) & (last < w + MIN_WORDS)
-            c = cover[inside & kept, w : w + MIN_WORDS]
-            if len(c) - 2 * _MOST_COVERING >= LEAST_SEEDS:
-                continue
-            both = c.T @ c
-            d = np.diagonal(both)
-            if (len(c) - d[:, None] - d + both).min() < LEAST_SEEDS:
-                out |= inside
-        return out
+        sizes = [len(h) for h in hashes]
+        h = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.entry = np.repeat(np.arange(len(entries)), sizes)[order]
+        self.at = np.concatenate([np.zeros(0, dtype=np.int64), *places])[order]
+        self.near = lru_cache(maxsize=200_000)(self._near)
+        self.by_part: dict[tuple[int, int, str], list[int]] = defaultdict(list)
+        for i, w in enumerate(self.words):
+            for n, part in enumerate((w[:2], w[-3:], w[3:6])):
+                self.by_part[len(w), n, part].append(i)
 
-    @staticmethod
-    def placed(ids: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, places and mask numbers of all seeds whose picked words are known (id >= 0) and one of them is rare."""
-        hashes, places, masks = [], [], []
-        x = ids.astype(np.int64)
-        for n, mask in enumerate(MASKS):
-            m = len(x) - mask[-1]
-            if m <= 0:
-                continue
-            picked = [x[o : o + m] for o in mask]
-            known = np.flatnonzero(np.logical_and.reduce([p >= 0 for p in picked]) & np.logical_or.reduce([rare[p] for p in picked]))
-            h = np.full(len(known), n + 1, dtype=np.uint64)
-            for p in picked:
-                h = (h ^ p[known].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            hashes.append(h)
-            places.append(known)
-            masks.append(np.full(len(known), n))
-        if not hashes:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        return np.concatenate(hashes), np.concatenate(places), np.concatenate(masks)
-
-    @staticmethod
-    def seeds(ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """Hashes of ``placed``."""
-        return Index.placed(ids, rare)[0]
-
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Entries that share seeds with the page, each with the seeds' places (page word, item word)."""
-        if not len(self.hashes) or np.count_nonzero(ids >= 0) < 3:
+    def _near(self, word: str) -> tuple[int, ...]:
+        """Words of the entries that a page word may be; words of the same first letters or last letters are compared."""
+        exact = self.number.get(word)
+        if exact is not None:
+            return (exact,)
+        if len(word) < 5:
+            return ()
+        words = self.words
+        span = 1 if len(word) < 12 else 2
+        parts = enumerate((word[:2], word[-3:], word[3:6]))
+        like = {i for k, part in parts for n in range(len(word) - span, len(word) + span + 1) for i in self.by_part.get((n, k, part), ())}
+        return tuple(i for i in sorted(like, key=lambda i: (len(words[i]), i)) if close(words[i], word))
+
+    def stretches(self, seeds: np.ndarray, places: np.ndarray, n: int) -> dict[int, list[tuple[int, int]]]:
+        """Per entry the stretches of a page of n words in which enough of its seeds agree on where it lies."""
+        i, j = np.searchsorted(self.hashes, seeds, "left"), np.searchsorted(self.hashes, seeds, "right")
+        hit = np.flatnonzero(i < j)
+        if len(hit) < LEAST_SEEDS:
             return {}
-        s, p, _ = self.placed(ids, self.telling)
-        i, j = np.searchsorted(self.hashes, s, "left"), np.searchsorted(self.hashes, s, "right")
+        many = (j - i)[hit]
+        of = np.repeat(hit, many)
+        which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + i[of]
+        entry, lies = self.entry[which], places[of] - self.at[which]
+        order = np.lexsort((lies, entry))
+        entry, lies = entry[order], lies[order]
+        # seeds of an entry agree if its beginnings, as they say it, lie within a few adverts' words of each other
+        new = np.concatenate(([True], (np.diff(entry) != 0) | (np.diff(lies) > MAX_BETWEEN)))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(entry)) - 1
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n in np.flatnonzero(i < j):
-            for e in range(i[n], j[n]):
-                out[int(self.entry[e])].append((int(p[n]), int(self.at[e])))
+        for a, z in zip(first[last - first + 1 >= LEAST_SEEDS].tolist(), last[last - first + 1 >= LEAST_SEEDS].tolist(), strict=True):
+            k = int(entry[a])
+            start, end = max(0, int(lies[a]) - 2 * MAX_BETWEEN), min(n, int(lies[z]) + len(self.items[k]) + 2 * MAX_BETWEEN)
+            if out[k] and start <= out[k][-1][1]:
+                out[k][-1] = (out[k][-1][0], max(end, out[k][-1][1]))
+            else:
+                out[k].append((start, end))
+        return out
+
+    def leaks(self, words: list[str], seeds: np.ndarray, places: np.ndarray) -> list[int]:
+        """The entries that a page (its words and seeds) holds."""
+        stretches = self.stretches(seeds, places, len(words))
+        if not stretches:
+            return []
+        covered = np.zeros(len(words), dtype=bool)
+        for a, z in {x for s in stretches.values() for x in s}:
+            covered[a:z] = True
+        # only now are misread words looked up
+        ways = [self.near(w) if c else () for w, c in zip(words, covered.tolist(), strict=True)]
+        first = np.concatenate(([0], np.cumsum([len(w) for w in ways])))
+        at = np.repeat(np.arange(len(words)), np.diff(first))
+        way = np.fromiter((i for w in ways for i in w), dtype=np.int64, count=first[-1])
+        present = np.zeros(len(self.words), dtype=bool)
+        out = []
+        for k in sorted(stretches):
+            item = self.items[k]
+            for a, z in stretches[k]:
+                here = slice(first[a], first[z])
+                present[way[here]] = True
+                matched = present[item]
+                present[way[here]] = False
+                # the alignment matches no other words than these, so nothing is lost where they do not suffice
+                if np.count_nonzero(matched) * ONE_IN < MIN_WORDS * (ONE_IN - 1) or _longest(matched) < MIN_WORDS:
+                    continue
+                flags = np.zeros((z - a, len(item)), dtype=bool)
+                np.logical_or.at(flags, at[here] - a, way[here, None] == item)
+                if any(_longest(piece) >= MIN_WORDS for piece in align(flags)):
+                    out.append(self.entries[k])
+                    break
         return out
 
 
-def page_words(text: str, x0, y0, known: dict[str, int]) -> list[str]:
+class Vocabulary:
+    """Hashes of all words of all entries."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.of = lru_cache(maxsize=200_000)(word_hash)
+
+    def __contains__(self, word: str) -> bool:
+        return bool(self.known(np.array([self.of(word)], dtype=np.uint64))[0])
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def hashed(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.of, words), dtype=np.uint64, count=len(words))
+
+
+def page_words(text: str, x0, y0, known: Vocabulary | set[str]) -> list[str]:
     """Folded words of a page in reading order without adverts; words broken at line ends are put together.
 
     A break without a mark is mended where only the whole is a word of the items.
@@ -256,114 +328,96 @@ def align(page: np.ndarray) -> list[np.ndarray]:
     return pieces
 
 
-class Matcher:
-    """Finds the items of a block in pages."""
+def item_words(text: str | None) -> list[str]:
+    return [fold(w) for w in _WORD.findall(text or "")]
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.index = Index(items)
-        self.near = lru_cache(maxsize=200_000)(self._near)
-        self.by_part: dict[tuple[int, int, str], list[int]] = defaultdict(list)
-        for i, w in enumerate(self.index.words):
-            for n, part in enumerate((w[:2], w[-3:], w[3:6])):
-                self.by_part[len(w), n, part].append(i)
 
-    def _near(self, word: str) -> tuple[int, ...]:
-        """Item words that a page word may be; words of the same first letters or last letters are compared."""
-        exact = self.index.number.get(word)
-        if exact is not None:
-            return (exact,)
-        if len(word) < 5:
-            return ()
-        words = self.index.words
-        span = 1 if len(word) < 12 else 2
-        parts = enumerate((word[:2], word[-3:], word[3:6]))
-        like = {i for k, part in parts for n in range(len(word) - span, len(word) + span + 1) for i in self.by_part.get((n, k, part), ())}
-        return tuple(i for i in sorted(like, key=lambda i: (len(words[i]), i)) if close(words[i], word))
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of enough words -> (entry, item_id, words); the entry is a hash of the words."""
+    for b in batches:
+        rows = [(i, w) for i, w in zip(b.column(0).to_pylist(), map(item_words, b.column(1).to_pylist()), strict=True) if len(w) >= MIN_WORDS]
+        names = [word_hash(" ".join(w)) - 2**63 for _, w in rows]
+        yield pa.record_batch([pa.array(names, pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.list_(pa.string()))], names=["entry", "item_id", "words"])
 
-    def leaks(self, text: str | None, x0, y0) -> list[int]:
-        """Names of the items that the page holds."""
-        if not text or not self.index.items:
-            return []
-        number = self.index.number
-        words = page_words(text, x0, y0, number)
-        ids = np.fromiter((number.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        hit = self.index.hits(ids)
-        if not hit:
-            return []
-        stretches = {k: _around(seeds, len(self.index.items[k][1]), len(words)) for k, seeds in hit.items()}
-        covered = np.zeros(len(words), dtype=bool)
-        for a, z in {x for s in stretches.values() for x in s}:
-            covered[a:z] = True
-        # only now are misread words looked up
-        ways = [self.near(w) if c else () for w, c in zip(words, covered.tolist(), strict=True)]
-        first = np.concatenate(([0], np.cumsum([len(w) for w in ways])))
-        at = np.repeat(np.arange(len(words)), np.diff(first))
-        way = np.fromiter((i for w in ways for i in w), dtype=np.int64, count=first[-1])
-        present = np.zeros(len(self.index.words), dtype=bool)
-        out = []
-        for k in sorted(hit):
-            names, item = self.index.items[k]
-            for a, z in stretches[k]:
-                here = slice(first[a], first[z])
-                present[way[here]] = True
-                matched = present[item]
-                present[way[here]] = False
-                # the alignment matches no other words than these, so nothing is lost where they do not suffice
-                if np.count_nonzero(matched) * ONE_IN < MIN_WORDS * (ONE_IN - 1) or _longest(matched) < MIN_WORDS:
-                    continue
-                flags = np.zeros((z - a, len(item)), dtype=bool)
-                np.logical_or.at(flags, at[here] - a, way[here, None] == item)
-                if any(_longest(piece) >= MIN_WORDS for piece in align(flags)):
-                    out += names
-                    break
-        return out
 
+def prepare(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[str, int, DataFrame]:
+    """Write the index of the items to the shared folder; returns its path, the number of blocks and (entry, item_id).
 
-def _around(seeds: list[tuple[int, int]], m: int, n: int) -> list[tuple[int, int]]:
-    """Stretches of the page that an item of m words may fill if it lies as a seed says, joined where they meet."""
-    out: list[tuple[int, int]] = []
-    for a, z in sorted((max(0, p - q - 2 * MAX_BETWEEN), min(n, p - q + m + 2 * MAX_BETWEEN)) for p, q in seeds):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
-    return out
+    ``blocks/block=N`` holds (entry, words, hashes, places), ``words`` the hash of every word.
+    """
+    spark = items.sparkSession
+    every = stored(items.where("text IS NOT NULL").select("item_id", "text").mapInArrow(_entries, "entry bigint, item_id bigint, words array<string>"), "items")
+    entries = every.groupBy("entry").agg(F.first("words").alias("words"))  # copies hold equal words
+    held = stored(entries.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    n, size = entries.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    common = frozenset(r.word for r in held.where(F.col("n") > max(RARE_ENTRIES, n // RARE_SHARE)).select("word").collect())  # bounded, see RARE_SHARE
+    # a word is some ten bytes and begins one seed per mask of sixteen bytes
+    blocks = max(1, -(-(size or 0) * (10 + 16 * len(MASKS)) // block_bytes))
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [kept_seeds(w, common) for w in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([h.astype(np.int64) for h, _ in kept], pa.list_(pa.int64())), pa.array([a for _, a in kept], pa.list_(pa.int64()))], names=["entry", "words", "hashes", "places"])
+
+    path = scratch_path(spark, "leaks")
+    index = entries.mapInArrow(seeds, "entry bigint, words array<string>, hashes array<bigint>, places array<bigint>")
+    index.withColumn("block", F.pmod("entry", F.lit(blocks))).write.partitionBy("block").parquet(f"{path}/blocks")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(np.array([word_hash(w) for w in b.column(0).to_pylist()], dtype=np.uint64).astype(np.int64))], names=["h"])
+
+    held.select("word").mapInArrow(hashed, "h bigint").write.parquet(f"{path}/words")
+    return path, blocks, every.select("entry", "item_id").distinct()
+
+
+def _table(path: str, columns: list[str]) -> pa.Table:
+    """A Parquet folder of the shared file system, read by a worker; an empty table where there is none."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if where.get_file_info(root).type == fs.FileType.NotFound:
+        return pa.table({c: [] for c in columns})
+    return ds.dataset(root, filesystem=where, format="parquet").to_table(columns=columns)
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(_table(f"{path}/words", ["h"])["h"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+@lru_cache(maxsize=1)
+def _block(path: str, number: int) -> Block:
+    """The block a worker works on; the one before is let go."""
+    t = _table(f"{path}/blocks/block={number}", ["entry", "words", "hashes", "places"])
+    lists = lambda c: [np.array(x, dtype=np.int64) for x in t[c].to_pylist()]
+    return Block(t["entry"].to_pylist(), t["words"].to_pylist(), [h.view(np.uint64) for h in lists("hashes")], lists("places"))
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (doc_id, item_id): the page holds at least MIN_WORDS successive words of the item in their order.
 
     At most one word in ONE_IN may be missing or exchanged; case, punctuation, line ends, broken words and misread letters
     do not matter. Whole texts are searched. NULL and empty texts and items of fewer than MIN_WORDS words give no
-    pair; repeated rows give a pair once; extra columns are ignored.
+    pair; repeated rows give a pair once; extra columns are ignored; a NULL doc_id or item_id stays NULL. ``block_bytes`` bounds
+    what a worker holds of the items; the result does not depend on it.
     """
-    spark = documents.sparkSession
-    blocks = max(1, -(-items.count() // block_items))
-    numbered = items.where("text IS NOT NULL").select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("_b"))
-    pages = documents.select("doc_id", "text", "lines")
-    out = None
-    for b in range(blocks):
-        block = [(r.item_id, r.text) for r in numbered.where(F.col("_b") == b).collect()]
-        sent = spark.sparkContext.broadcast(block)
-
-        def go(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(sent)
-            for batch in batches:
-                pairs = [(d, i) for d, t, (x, y) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), boxes(batch.column(2)), strict=True) for i in matcher.leaks(t, x, y)]
-                yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"])
-
-        found = pages.mapInArrow(go, "doc_id bigint, item_id bigint")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
-
-
-_MATCHERS: dict[int, Matcher] = {}
-
-
-def _matcher(sent) -> Matcher:
-    """One matcher per worker and block."""
-    key = hash(tuple(sent.value))
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(sent.value)
-    return _MATCHERS[key]
+    path, blocks, members = prepare(items, block_bytes)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(path)
+        for batch in batches:
+            pages = []
+            for text, (x, y) in zip(batch.column(1).to_pylist(), boxes(batch.column(2)), strict=True):
+                words = page_words(text, x, y, vocabulary) if text else []
+                h = vocabulary.hashed(words)
+                pages.append((words, *placed(h, vocabulary.known(h))[:2]))
+            ids = batch.column(0).to_pylist()
+            for b in range(blocks):
+                block = _block(path, b)
+                pairs = [(d, e) for d, (words, seeds, places) in zip(ids, pages, strict=True) if len(seeds) for e in block.leaks(words, seeds, places)]
+                yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "entry"])
+
+    found = documents.select("doc_id", "text", "lines").mapInArrow(go, "doc_id bigint, entry bigint")
+    return join_small(found, members, "entry").select("doc_id", "item_id").distinct()
