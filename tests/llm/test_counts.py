@@ -124,3 +124,37 @@ def test_token_counts(spark):
     n = {r.doc_id: r.n_tokens for r in packing.count_tokens(df).collect()}
     assert n[1] >= 2 and n[2] == n[3] == 0 and n[4] >= 50_000
     assert packing.pack(df, capacity=1000).where("doc_id = 4").agg(F.sum("n_tokens")).first()[0] == n[4]
+
+
+def test_repeated_doc_ids_are_pages_of_their_own(spark):
+    df = spark.createDataFrame([(7, "a", 5000), (7, "a", 5000), (None, None, 4096), (8, "a", 10)], "doc_id bigint, source string, n_tokens bigint")
+    p = packing.pack_sized(df, capacity=2048).toPandas()
+    assert p.groupby("container_id").n_tokens.sum().max() <= 2048 and p.n_tokens.sum() == 5000 * 2 + 4096 + 10
+
+
+def test_schedule_empties_queues_once():
+    plan = packing.schedule({"a": 100, "b": 300, "c": 50}, {"a": 0.5, "b": 0.5})
+    assert plan[0] == ("a", 0.0, 100.0, 0.0, 0.5) and plan[1][:1] + plan[1][2:] == ("b", 100.0, 0.0, 0.5)
+    assert ("b", 100.0, 300.0, 200.0, 1.0) in plan and plan[-1] == ("c", 0.0, 50.0, 400.0, 1.0)
+    assert packing.schedule({}, None) == [] and len(packing.schedule({"a": 5, "b": 7}, None)) == 2
+
+
+def test_a_mixture_holds_over_partitions(spark):
+    """With ten partitions b, at 80 %, runs dry once: before that every window has its share, after it there is none of b left."""
+    rng = np.random.default_rng(3)
+    sizes = [("a", int(n)) for n in rng.integers(20, 200, 4000)] + [("b", int(n)) for n in rng.integers(20, 200, 4000)]
+    p = packed(spark, sizes, capacity=200, mixture={"a": 0.2, "b": 0.8}, shard_tokens=90_000)
+    p["source"] = ["a" if d < 4000 else "b" for d in p.doc_id]
+    w = p[p.window_id.notna()].pivot_table(index="window_id", columns="source", values="n_tokens", aggfunc="sum").fillna(0)
+    w = w[w.sum(axis=1) > 0.9 * 200 * packing.WINDOW_CONTAINERS]
+    share = w["b"] / w.sum(axis=1)
+    mixed = share[share > 0.5]
+    # 5/8 of all tokens are taken at 0.2 : 0.8
+    assert abs(len(mixed) / len(share) - 0.625) < 0.08 and (mixed - 0.8).abs().median() < 0.02 and ((mixed - 0.8).abs() < 0.1).mean() > 0.95
+    assert (share[share <= 0.5] < 0.1).mean() > 0.9
+
+
+def test_bitmaps_are_sized_by_the_rows():
+    assert distinct.sized_bits(1) == 8192 and distinct.sized_bits(10**6) < distinct.sized_bits(10**8)
+    for n in (10, 10**4, 10**6):
+        assert distinct.relative_error(n, distinct.sized_bits(n)) <= 0.01

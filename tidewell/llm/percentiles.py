@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.model import series_hash, series_key
-from tidewell.runtime import shuffle_width, stored
+from tidewell.runtime import join_small, shuffle_width, stored
 
 PERCENTS = (50, 90, 95, 99)
 #: Values of a group that one task selects from; larger groups go through rounds.
@@ -29,6 +29,8 @@ ONE_TASK = 100_000
 #: Values per piece of a larger group, and values left of a rank at which they are gathered.
 PIECE = 65_536
 GATHER = 16_384
+#: Pieces whose medians are merged at a time.
+CHUNK = 512
 _RUN = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("n", pa.int64()), ("run", pa.binary())])
 
 
@@ -74,7 +76,7 @@ def _memberships(runs: DataFrame) -> DataFrame:
     """(kind, grp, n, run): every run once for its metric, its series and each of its labels."""
     pairs = F.transform(F.map_entries(F.coalesce("labels", F.expr("map()").cast("map<string,string>"))), lambda e: F.struct(F.lit("label").alias("kind"), F.concat(e["key"], F.lit('="'), F.coalesce(e["value"], F.lit("")), F.lit('"')).alias("grp")))
     whole = F.array(F.struct(F.lit("metric").alias("kind"), F.coalesce("metric", F.lit("")).alias("grp")), F.struct(F.lit("series").alias("kind"), F.coalesce("series_key", F.lit("")).alias("grp")))
-    return runs.select("n", "run", F.explode(F.concat(whole, pairs)).alias("_g")).select("_g.kind", "_g.grp", "n", "run")
+    return runs.select("n", "no", "run", F.explode(F.concat(whole, pairs)).alias("_g")).select("_g.kind", "_g.grp", "n", "no", "run")
 
 
 def rank_of(percent: int, n: int) -> int:
@@ -123,7 +125,7 @@ def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array([kind]), pa.array([grp]), pa.array([piece], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["kind", "grp", "piece", "run"])
 
 
-_COUNTED = "kind string, grp string, q int, lo double, hi double, k bigint, pivot double, n_lt bigint, n_eq bigint, n_gt bigint, med_lt double, med_gt double"
+_COUNTED = "kind string, grp string, piece int, q int, lo double, hi double, k bigint, pivot double, n_lt bigint, n_eq bigint, n_gt bigint, med_lt double, med_gt double"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +145,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lt, le = np.searchsorted(v, p, "left"), np.searchsorted(v, p, "right")
                 med_lt = float(v[(a + lt - 1) // 2]) if lt > a else None
                 med_gt = float(v[(le + z - 1) // 2]) if z > le else None
-            out.append({k: r[k] for k in ("kind", "grp", "q", "lo", "hi", "k", "pivot")} | {"n_lt": int(lt - a), "n_eq": int(le - lt), "n_gt": int(z - le), "med_lt": med_lt, "med_gt": med_gt})
+            out.append({k: r[k] for k in ("kind", "grp", "piece", "q", "lo", "hi", "k", "pivot")} | {"n_lt": int(lt - a), "n_eq": int(le - lt), "n_gt": int(z - le), "med_lt": med_lt, "med_gt": med_gt})
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
 
-_SCHEMA = pa.schema([("kind", pa.string()), ("grp", pa.string()), ("q", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("k", pa.int64()), ("pivot", pa.float64()), ("n_lt", pa.int64()), ("n_eq", pa.int64()), ("n_gt", pa.int64()), ("med_lt", pa.float64()), ("med_gt", pa.float64())])
+_SCHEMA = pa.schema([("kind", pa.string()), ("grp", pa.string()), ("piece", pa.int32()), ("q", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("k", pa.int64()), ("pivot", pa.float64()), ("n_lt", pa.int64()), ("n_eq", pa.int64()), ("n_gt", pa.int64()), ("med_lt", pa.float64()), ("med_gt", pa.float64())])
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,55 +170,58 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([kind]), pa.array([grp]), pa.array([q], pa.int32()), pa.array([float(v[k])])], names=["kind", "grp", "q", "value"])
 
 
-def _multi_select(hot: DataFrame, totals: DataFrame, percents: tuple[int, ...], width: int) -> DataFrame:
+def _multi_select(hot: DataFrame, totals: DataFrame, percents: tuple[int, ...], width: int, piece: int, gather: int) -> DataFrame:
     """(kind, grp, q, value) of the large groups; ``totals`` has (kind, grp, total)."""
-    pieces_of = F.expr(f"cast((total + {PIECE - 1}) div {PIECE} as int)")
-    # runs are routed to pieces at random but repeatably: by their content
-    routed = hot.withColumn("piece", F.pmod(F.xxhash64("run"), pieces_of).cast("int"))
+    pieces_of = F.expr(f"cast((total + {piece - 1}) div {piece} as int)")
+    # runs go to pieces by their number and content, so equal runs do not meet in one piece
+    routed = hot.withColumn("piece", F.pmod(F.xxhash64("no", "run"), pieces_of).cast("int"))
     pieces = (
         routed.repartition(width, "kind", "grp", "piece")
         .sortWithinPartitions("kind", "grp", "piece")
         .select("kind", "grp", "piece", "run")
         .mapInArrow(_merge_pieces, "kind string, grp string, piece int, run binary")
-        .repartition(width, "kind", "grp", "piece")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     ranks = F.array(*[F.struct(F.lit(p).cast("int").alias("q"), (F.expr(f"(total * {p} + 99) div 100") - 1).alias("k")) for p in percents])
     none = F.lit(None).cast("double")
-    state = totals.select("kind", "grp", pieces_of.alias("np"), F.explode(ranks).alias("_r"), "total").select(
-        "kind", "grp", "np", "_r.q", "_r.k", none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("total").alias("n_left"), none.alias("value")
+    state = totals.select("kind", "grp", F.explode(ranks).alias("_r"), "total").select(
+        "kind", "grp", "_r.q", "_r.k", none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("total").alias("n_left"), none.alias("value")
     )
     state = stored(state, "select")
     key = ["kind", "grp", "q"]
     for _ in range(64):
-        active = state.where(f"value IS NULL AND n_left > {GATHER}")
+        active = state.where(f"value IS NULL AND n_left > {gather}")
         if active.isEmpty():
             break
-        asked = active.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).drop("value")
-        counted = pieces.join(asked.hint("shuffle_hash"), ["kind", "grp", "piece"]).select("kind", "grp", "q", "lo", "hi", "k", "pivot", "run").mapInArrow(_count, _COUNTED)
-        w = W.partitionBy(*key)
-        lt, eq = F.sum("n_lt").over(w), F.sum("n_eq").over(w)
-        side = counted.withColumn("_lt", lt).withColumn("_eq", eq).withColumn("_gt", F.sum("n_gt").over(w))
-        side = side.withColumn("_go", F.when(F.col("k") < F.col("_lt"), -1).when(F.col("k") < F.col("_lt") + F.col("_eq"), 0).otherwise(1))
+        # a state is a row per large group and rank; it goes to the pieces by broadcast while it is small
+        asked = join_small(pieces, active.drop("value", "n_left"), ["kind", "grp"])
+        counted = stored(asked.select("kind", "grp", "piece", "q", "lo", "hi", "k", "pivot", "run").mapInArrow(_count, _COUNTED), "counts")
+        # counts are sums, combined on the map side
+        sums = counted.groupBy(*key).agg(F.sum("n_lt").alias("_lt"), F.sum("n_eq").alias("_eq"), F.sum("n_gt").alias("_gt"))
+        side = F.when(F.col("k") < F.col("_lt"), -1).when(F.col("k") < F.col("_lt") + F.col("_eq"), 0).otherwise(1)
+        moved = active.drop("value", "n_left").join(sums, key).withColumn("_go", side)
+        # weighted medians in two steps: of some hundred pieces each, then of those medians; no task gets all pieces of a group
         weight = F.when(F.col("_go") < 0, F.col("n_lt")).when(F.col("_go") > 0, F.col("n_gt")).otherwise(0)
-        side = side.withColumn("_w", weight).withColumn("_m", F.when(F.col("_go") < 0, F.col("med_lt")).when(F.col("_go") > 0, F.col("med_gt")))
-        side = side.withColumn("_cum", F.sum("_w").over(w.orderBy(F.col("_m").asc_nulls_last()))).withColumn("_tot", F.sum("_w").over(w))
+        median = F.when(F.col("_go") < 0, F.col("med_lt")).when(F.col("_go") > 0, F.col("med_gt"))
+        votes = join_small(counted.select(*key, "piece", "n_lt", "n_gt", "med_lt", "med_gt"), moved.select(*key, "_go"), key)
+        votes = votes.select(*key, F.expr(f"piece div {CHUNK}").alias("chunk"), weight.alias("w"), median.alias("m")).where("w > 0")
+        pivots = _weighted_median(_weighted_median(votes, [*key, "chunk"]), key)
         down, up = F.col("_go") < 0, F.col("_go") > 0
-        step = side.groupBy(*key).agg(
-            F.max(F.when(up, F.coalesce("pivot", "lo")).otherwise(F.col("lo"))).alias("lo"),
-            F.min(F.when(down, F.col("pivot")).otherwise(F.col("hi"))).alias("hi"),
-            F.max(F.when(up, F.col("k") - F.col("_lt") - F.col("_eq")).otherwise(F.col("k"))).alias("k"),
-            F.min(F.when(F.col("_cum") * 2 >= F.col("_tot"), F.col("_m"))).alias("pivot"),
-            F.max("_tot").alias("n_left"),
-            F.max(F.when(F.col("_go") == 0, F.col("pivot"))).alias("value"),
+        new = moved.join(pivots.select(*key, F.col("m").alias("_m")), key, "left").select(
+            *key,
+            F.when(up, F.col("k") - F.col("_lt") - F.col("_eq")).otherwise(F.col("k")).alias("k"),
+            F.when(up, F.coalesce("pivot", "lo")).otherwise(F.col("lo")).alias("lo"),
+            F.when(down, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
+            F.col("_m").alias("pivot"),
+            F.when(down, F.col("_lt")).when(up, F.col("_gt")).otherwise(0).alias("n_left"),
+            F.when(F.col("_go") == 0, F.col("pivot")).alias("value"),
         )
-        moved = active.select("kind", "grp", "np", "q").join(step, key)
-        state = stored(state.where(f"value IS NOT NULL OR n_left <= {GATHER}").unionByName(moved.select(*state.columns)), "select")
+        state = stored(state.where(f"value IS NOT NULL OR n_left <= {gather}").unionByName(new), "select")
     else:
         raise RuntimeError("selection did not end")
-    rest = state.where("value IS NULL").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).drop("value")
+    rest = state.where("value IS NULL").select(*key, "k", "lo", "hi")
     gathered = (
-        pieces.join(rest.hint("shuffle_hash"), ["kind", "grp", "piece"])
+        join_small(pieces, rest, ["kind", "grp"])
         .select("kind", "grp", "q", "k", "lo", "hi", "run")
         .mapInArrow(_left, "kind string, grp string, q int, k bigint, run binary")
         .repartition(width, *key)
@@ -228,21 +233,30 @@ def _multi_select(hot: DataFrame, totals: DataFrame, percents: tuple[int, ...],
     return out
 
 
-def percentiles(runs: DataFrame, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
+def _weighted_median(votes: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of (w, m) the lower weighted median of m and the sum of the weights; ``chunk`` drops out of what comes after."""
+    order = W.partitionBy(*by).orderBy("m").rowsBetween(W.unboundedPreceding, 0)
+    ranked = votes.withColumn("_cum", F.sum("w").over(order)).withColumn("_tot", F.sum("w").over(W.partitionBy(*by)))
+    return ranked.groupBy(*by).agg(F.max("_tot").alias("w"), F.min(F.when(F.col("_cum") * 2 >= F.col("_tot"), F.col("m"))).alias("m"))
+
+
+def percentiles(runs: DataFrame, percents: tuple[int, ...] = PERCENTS, one_task: int | None = None, piece: int | None = None, gather: int | None = None) -> DataFrame:
     """One row per group: kind (metric, series, label), grp, n, p50, p90, ... by nearest rank, exact.
 
     ``runs`` are sorted runs of any number of parts. A NULL metric is the group "". Groups without values do not
-    appear; an empty input gives no rows.
+    appear; an empty input gives no rows. Groups above ``one_task`` values go through rounds, in pieces of about ``piece``, until
+    ``gather`` values are left of a rank; the result is the same for any limits.
     """
+    one_task, piece, gather = (d if x is None else x for x, d in ((one_task, ONE_TASK), (piece, PIECE), (gather, GATHER)))
     width = shuffle_width(runs.sparkSession)
-    kept = stored(runs, "runs")
+    kept = stored(runs.withColumn("no", F.monotonically_increasing_id()), "runs")
     members = _memberships(kept)
     totals = stored(members.groupBy("kind", "grp").agg(F.sum("n").alias("total")), "totals")
-    large = totals.where(F.col("total") > ONE_TASK)
+    large = totals.where(F.col("total") > one_task)
     names = ", ".join(f"p{p} double" for p in percents)
     sized = members.join(totals, ["kind", "grp"])
     cold = (
-        sized.where(F.col("total") <= ONE_TASK)
+        sized.where(F.col("total") <= one_task)
         .select("kind", "grp", "run")
         .repartition(width, "kind", "grp")
         .sortWithinPartitions("kind", "grp")
@@ -250,7 +264,7 @@ def percentiles(runs: DataFrame, percents: tuple[int, ...] = PERCENTS) -> DataFr
     )
     if large.isEmpty():
         return cold
-    found = _multi_select(sized.where(F.col("total") > ONE_TASK), large, percents, width)
+    found = _multi_select(sized.where(F.col("total") > one_task), large, percents, width, piece, gather)
     wide = found.groupBy("kind", "grp").agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{p}") for p in percents])
     hot = large.join(wide, ["kind", "grp"]).select("kind", "grp", F.col("total").alias("n"), *[f"p{p}" for p in percents])
     return cold.unionByName(hot)
