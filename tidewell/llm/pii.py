@@ -24,7 +24,7 @@ from tidewell.llm.pii_labels import KINDS, language
 WINDOW = 160
 OVERLAP = 48
 #: Windows and stretches that advance side by side.
-SIDE = 384
+SIDE = 128
 #: Emission margin to "outside" of characters that are outside for certain, and how many of them in a row part two values.
 NEAR = -8.0
 RUN = 8
@@ -55,16 +55,21 @@ def in_order(text: str, x0, y0) -> tuple[str, np.ndarray, np.ndarray]:
 
 
 def _windows(n: int) -> list[tuple[int, int]]:
+    """Windows of equal length, WINDOW at most, of which neighbours share OVERLAP characters."""
     if n <= WINDOW:
         return [(0, n)]
-    starts = list(range(0, n - WINDOW, WINDOW - OVERLAP)) + [n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
+    many = -(-(n - OVERLAP) // (WINDOW - OVERLAP))
+    size = -(-(n + OVERLAP * (many - 1)) // many)
+    return [(min(i * (size - OVERLAP), n - size), min(i * (size - OVERLAP), n - size) + size) for i in range(many)]
 
 
 def tag_stretches(pieces: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Tags of every stretch of classes."""
-    jobs = [(k, a, z) for k, c in enumerate(pieces) for a, z in _windows(len(c))]
-    scores = [np.empty((len(c), tagger.K), dtype=np.float32) for c in pieces]
+    ends = np.cumsum([len(c) for c in pieces]).astype(np.int64)
+    starts = ends - np.array([len(c) for c in pieces], dtype=np.int64)
+    total = int(ends[-1]) if len(pieces) else 0
+    jobs = [(k, a, z) for k, c in enumerate(pieces) for a, z in _windows_of(len(c))]
+    scores, lead = np.empty((total, tagger.K), dtype=np.float32), np.empty(total, dtype=np.float32)
     jobs.sort(key=lambda j: j[2] - j[1])
     for i in range(0, len(jobs), SIDE):
         some = jobs[i : i + SIDE]
@@ -72,42 +77,50 @@ def tag_stretches(pieces: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np
         for b, (k, a, z) in enumerate(some):
             x[: z - a, b] = pieces[k][a:z]
         e = tagger.emissions(x, w)
+        # by how much the best other tag leads before "outside"
+        best = e[:, :, 1].copy()
+        for tag in range(2, tagger.K):
+            np.maximum(best, e[:, :, tag], out=best)
+        best -= e[:, :, 0]
         for b, (k, a, z) in enumerate(some):
             n = len(pieces[k])
             # in an overlap each character belongs to the window whose end is further away
             before = 0 if a == 0 else (max(p for q, p in _windows_of(n) if q < a) - a) // 2
             after = z - a if z == n else z - a - (z - min(q for q, _ in _windows_of(n) if q > a)) // 2
-            scores[k][a + before : a + after] = e[before:after, b]
-    out = [np.zeros(len(c), dtype=np.int8) for c in pieces]
-    parts = [(k, a, z) for k, e in enumerate(scores) for a, z in _doubtful(e)]
-    parts.sort(key=lambda p: p[2] - p[1])
+            at = slice(starts[k] + a + before, starts[k] + a + after)
+            scores[at], lead[at] = e[before:after, b], best[before:after, b]
+    tags = np.zeros(total, dtype=np.int8)
+    parts = _doubtful(lead, starts, ends)
     at = 0
     while at < len(parts):
         # similar lengths together, and not too many long ones
-        most = parts[min(at + SIDE, len(parts) - 1)][2] - parts[min(at + SIDE, len(parts) - 1)][1]
-        some = parts[at : at + max(1, min(SIDE, SIDE * 400 // max(most, 1)))]
+        longest = parts[min(at + SIDE, len(parts)) - 1]
+        some = parts[at : at + max(1, min(SIDE, SIDE * 400 // max(int(longest[1] - longest[0]), 1)))]
         at += len(some)
-        n = np.array([z - a for _, a, z in some])
+        n = some[:, 1] - some[:, 0]
         e = np.zeros((int(n.max()), len(some), tagger.K), dtype=np.float32)
-        for b, (k, a, z) in enumerate(some):
-            e[: n[b], b] = scores[k][a:z]
-        tags = tagger.viterbi(e, n, w["trans"])
-        for b, (k, a, z) in enumerate(some):
-            out[k][a:z] = tags[: n[b], b]
-    return out
+        for b, (a, z) in enumerate(some.tolist()):
+            e[: z - a, b] = scores[a:z]
+        got = tagger.viterbi(e, n, w["trans"])
+        for b, (a, z) in enumerate(some.tolist()):
+            tags[a:z] = got[: z - a, b]
+    return [tags[a:z] for a, z in zip(starts, ends, strict=True)]
 
 
-def _doubtful(e: np.ndarray) -> list[tuple[int, int]]:
-    """Parts of a stretch to be decoded: those between runs of ``RUN`` characters at each of which "outside" leads by more than -NEAR.
+def _doubtful(lead: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Parts (from, to) of the stretches to be decoded, the shortest first: those between runs of ``RUN`` characters at each of
+    which "outside" leads by more than -NEAR.
 
     To lead on through such a run a value would have to lose RUN x -NEAR at least, more than two new beginnings cost.
     """
-    near = np.flatnonzero(e[:, 1:].max(axis=1) - e[:, 0] > NEAR)
+    near = np.flatnonzero(lead > NEAR)
     if not len(near):
-        return []
-    cut = np.flatnonzero(np.diff(near) > RUN)
-    first, last = near[np.concatenate(([0], cut + 1))], near[np.concatenate((cut, [len(near) - 1]))]
-    return [(max(0, int(a) - 1), min(len(e), int(z) + 2)) for a, z in zip(first, last, strict=True)]
+        return np.zeros((0, 2), dtype=np.int64)
+    of = np.searchsorted(ends, near, "right")
+    cut = np.flatnonzero((np.diff(near) > RUN) | (np.diff(of) > 0))
+    first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(near) - 1]))
+    parts = np.stack((np.maximum(near[first] - 1, starts[of[first]]), np.minimum(near[last] + 2, ends[of[first]])), axis=1)
+    return parts[np.argsort(parts[:, 1] - parts[:, 0], kind="stable")]
 
 
 @lru_cache(maxsize=4096)

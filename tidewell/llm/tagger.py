@@ -102,24 +102,27 @@ def emissions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def viterbi(e: np.ndarray, n: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best tags (time, batch) of emissions (time, batch, tag); sequences have n valid steps, the rest is 0."""
+    """Best tags (time, batch) of emissions (time, batch, tag); sequences have n valid steps, the rest is 0.
+
+    The way forward keeps scores only; which tag a best one came from is worked out on the way back, along the best path.
+    """
     steps, batch, _ = e.shape
-    back = np.empty((steps, batch, K), dtype=np.int8)
-    score = e[0] + np.where([t[0] == "I" for t in TAGS], np.float32(-1e4), np.float32(0))
+    e = np.ascontiguousarray(e.transpose(0, 2, 1))
+    score = np.empty((steps, K, batch), dtype=np.float32)
+    score[0] = e[0] + np.where([t[0] == "I" for t in TAGS], np.float32(-1e4), np.float32(0))[:, None]
+    wide, both = trans.astype(np.float32)[:, :, None], np.empty((K, K, batch), dtype=np.float32)
     for t in range(1, steps):
-        both = score[:, :, None] + trans
-        best = both.argmax(axis=1)
-        back[t] = best
-        moved = np.take_along_axis(both, best[:, None, :], axis=1)[:, 0] + e[t]
-        score = np.where((t < n)[:, None], moved, score)
+        np.add(score[t - 1][:, None, :], wide, out=both)
+        np.max(both, axis=0, out=score[t])
+        score[t] += e[t]
     tags = np.zeros((steps, batch), dtype=np.int8)
-    now = score.argmax(axis=1)
-    rows = np.arange(batch)
-    for t in range(steps - 1, -1, -1):
+    rows, back = np.arange(batch), np.ascontiguousarray(trans.astype(np.float32).T)
+    now = score[n - 1, :, rows].argmax(axis=1)
+    tags[n - 1, rows] = now
+    for t in range(steps - 1, 0, -1):
         inside = t < n
-        tags[t, inside] = now[inside]
-        if t:
-            now = np.where(inside, back[t, rows, now], now)
+        now = np.where(inside, (score[t - 1].T + back[now]).argmax(axis=1), now)
+        tags[t - 1, inside] = now[inside]
     return tags
 
 
