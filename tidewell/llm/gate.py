@@ -1,4 +1,4 @@
-"""Candidate search for the tagger: learnt weights of hashed character 4-grams, summed over a short window.
+"""Candidate search for the tagger: learnt weights of hashed character 5-grams, summed over a short window.
 
 Every character of every text is scored; the tagger then reads all stretches that score above a threshold, with a
 margin around them. The threshold is set from labelled, damaged spans so that none of those is lost.
@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 18
+BITS = 20
+GRAM = 5
 WINDOW = 12
 MARGIN = 28
 #: Weights are kept as bytes of this many steps a unit.
@@ -16,10 +17,10 @@ STEPS = 24
 
 
 def features(c: np.ndarray) -> np.ndarray:
-    """Hashed 4-grams of character classes; digits count as one, line ends as blanks."""
+    """Hashed GRAM-grams of character classes; digits count as one, line ends as blanks."""
     c = np.where((c >= 48) & (c < 58), 48, np.where(c == 10, 32, c)).astype(np.uint32)
     h = c.copy()
-    for k in (1, 2, 3):
+    for k in range(1, GRAM):
         h *= np.uint32(401)
         h[:-k] += c[k:]
     h *= np.uint32(0x9E3779B1)
@@ -27,7 +28,7 @@ def features(c: np.ndarray) -> np.ndarray:
 
 
 def fit(windows: list[tuple[np.ndarray, np.ndarray]], lead: int = 8) -> np.ndarray:
-    """Log-odds of each 4-gram being in a span or in the ``lead`` characters before one, as bytes.
+    """Log-odds of each gram being in a span or in the ``lead`` characters before one, as bytes.
 
     ``windows`` are (classes, tags); tag 0 is outside.
     """
@@ -44,7 +45,7 @@ def fit(windows: list[tuple[np.ndarray, np.ndarray]], lead: int = 8) -> np.ndarr
 
 
 def scores(c: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Mean weight of the WINDOW 4-grams that begin at each character (fewer at the end)."""
+    """Mean weight of the WINDOW grams that begin at each character (fewer at the end)."""
     total = np.cumsum(np.concatenate(([0], weights[features(c)].astype(np.int32))))
     begin = np.arange(len(c))
     end = np.minimum(begin + WINDOW, len(c))
