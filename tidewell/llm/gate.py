@@ -46,10 +46,16 @@ def fit(windows: list[tuple[np.ndarray, np.ndarray]], lead: int = 8) -> np.ndarr
 
 def scores(c: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mean weight of the WINDOW grams that begin at each character (fewer at the end)."""
-    total = np.cumsum(np.concatenate(([0], weights[features(c)].astype(np.int32))))
-    begin = np.arange(len(c))
-    end = np.minimum(begin + WINDOW, len(c))
-    return (total[end] - total[:-1]) / ((end - begin) * STEPS)
+    n = len(c)
+    total = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(weights[features(c)], dtype=np.int32, out=total[1:])
+    out = np.empty(n, dtype=np.float32)
+    whole = max(0, n - WINDOW + 1)
+    np.subtract(total[WINDOW:], total[:whole], out=out[:whole], casting="unsafe") if whole else None
+    out[:whole] *= np.float32(1 / (WINDOW * STEPS))
+    rest = np.arange(whole, n)
+    out[whole:] = (total[n] - total[whole:n]) / ((n - rest) * STEPS)
+    return out
 
 
 def stretches(c: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[int, int]]:

@@ -37,13 +37,7 @@ def load(path: str) -> dict[str, np.ndarray]:
     with np.load(path) as f:
         w = {k: f[k].astype(np.float32) if f[k].dtype == np.float16 else f[k] for k in f.files}
     w["trans"] = w["t"] + tagger.forbidden()
-    # the tagger works out sigmoids as tanh of half the argument: the halves are taken once, here
-    h = w["hf"].shape[0]
-    for c in ("xf", "hf", "xb", "hb"):
-        w[c] = w[c].copy()
-        w[c][:, : 3 * h] *= 0.5
-    w["halved"] = np.bool_(True)
-    return w
+    return tagger.doubled(w)
 
 
 def in_order(text: str, x0, y0) -> tuple[str, np.ndarray, np.ndarray]:

@@ -59,16 +59,55 @@ def forbidden() -> np.ndarray:
     return bad
 
 
-def _gates(z: np.ndarray, h: int, halved: bool = False) -> None:
+def _gates(z: np.ndarray, h: int) -> None:
     """In place: sigmoid of the first three quarters (as a tanh, which is faster), tanh of the last."""
-    if not halved:
-        z[:, : 3 * h] *= 0.5
+    z[:, : 3 * h] *= 0.5
     np.tanh(z, out=z)
     z[:, : 3 * h] *= 0.5
     z[:, : 3 * h] += 0.5
 
 
-def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None, halved: bool = False) -> np.ndarray:
+def doubled(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights for ``run_doubled``, whose states and gates are twice those of ``run``: the halves are taken once, here."""
+    h = w["hf"].shape[0]
+    out = dict(w)
+    for d in "fb":
+        x, r = w["x" + d].copy(), w["h" + d] * np.float32(0.5)
+        x[:, : 3 * h] *= 0.5
+        r[:, : 3 * h] *= 0.5
+        out["x" + d], out["h" + d] = x, np.ascontiguousarray(r)
+    out["o"] = w["o"] * np.float32(0.5)
+    out["doubled"] = np.bool_(True)
+    return out
+
+
+def run_doubled(x: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> np.ndarray:
+    """As ``run`` without what training needs, with ``doubled`` weights: a sigmoid is then a tanh plus one."""
+    steps, batch = x.shape
+    h = wh.shape[0]
+    out = np.empty((steps, batch, h), dtype=np.float32)
+    s, c = np.zeros((batch, h), dtype=np.float32), np.zeros((batch, h), dtype=np.float32)
+    z, given, th = np.empty((batch, 4 * h), dtype=np.float32), np.empty((batch, 4 * h), dtype=np.float32), np.empty((batch, h), dtype=np.float32)
+    enter, keep, leave, new, three = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :], z[:, : 3 * h]
+    half = np.float32(0.5)
+    for t in range(steps):
+        np.matmul(s, wh, out=z)
+        np.take(wx, x[t], axis=0, out=given, mode="clip")
+        z += given
+        np.tanh(z, out=z)
+        three += 1
+        c *= keep
+        c *= half
+        np.multiply(enter, new, out=th)
+        c += th
+        np.multiply(c, half, out=th)
+        np.tanh(th, out=th)
+        s = out[t]
+        np.multiply(leave, th, out=s)
+    return out
+
+
+def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None) -> np.ndarray:
     """One direction over windows x (time, batch) of classes; returns hidden states (time, batch, hidden)."""
     steps, batch = x.shape
     h = wh.shape[0]
@@ -79,7 +118,7 @@ def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None,
         np.matmul(s, wh, out=z)
         np.take(wx, x[t], axis=0, out=given, mode="clip")
         z += given
-        _gates(z, h, halved)
+        _gates(z, h)
         before = c.copy() if keep is not None else None
         c *= z[:, h : 2 * h]
         np.multiply(z[:, :h], z[:, 3 * h :], out=added)
@@ -94,9 +133,9 @@ def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list | None = None,
 
 def emissions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """Tag scores (time, batch, tag) of windows x (time, batch)."""
-    halved = bool(w.get("halved", False))
-    f = run(x, w["xf"], w["hf"], halved=halved)
-    b = run(x[::-1], w["xb"], w["hb"], halved=halved)[::-1]
+    one = run_doubled if "doubled" in w else run
+    f = one(x, w["xf"], w["hf"])
+    b = one(x[::-1], w["xb"], w["hb"])[::-1]
     h = f.shape[2]
     return f @ w["o"][:h] + b @ w["o"][h:] + w["c"]
 
