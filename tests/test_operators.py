@@ -124,7 +124,17 @@ def test_bloom_filter_is_asked_for_keys_that_are_no_members(spark, tmp_path, mon
 
     monkeypatch.setattr(bloom, "size", lambda n, *rate: sized.append(n) or size(n, *rate))
     monkeypatch.setattr(bloom, "might_contain", asking)
-    assert queries.QUERIES["bloom_membership"](spark, str(tmp_path)).collect() == [(50,)]
+    assert queries.QUERIES["bloom_membership"](spark, str(tmp_path)).collect() == [(50, True)]
     assert sized == [50] and seen["asked"].count() == 400 and 50 <= seen["passed"].count() < 80
     monkeypatch.setattr(bloom, "size", lambda n, *rate: (64, 1))  # too small: much passes falsely
-    assert queries.QUERIES["bloom_membership"](spark, str(tmp_path)).collect() == [(50,)] and seen["passed"].count() > 80
+    assert queries.QUERIES["bloom_membership"](spark, str(tmp_path)).collect() == [(50, False)] and seen["passed"].count() > 80
+
+
+def test_rate_over_shards_is_rate_over_the_series(spark):
+    import random
+
+    rng = random.Random(2)
+    pts = sorted({(rng.choice("ab"), rng.randrange(-50_000, 50_000)) for _ in range(300)})
+    df = spark.createDataFrame([(k, t, rng.choice([None, rng.uniform(0, 9)])) for k, t in pts], "series_key string, ts bigint, value double")
+    key = lambda d: sorted((r.series_key, r.ts, round(r.value, 9)) for r in d.collect())
+    assert key(rate(df, 1_000)) == key(rate(df, 10**9)) and rate(df.where("false")).count() == 0

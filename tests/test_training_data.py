@@ -230,3 +230,63 @@ def test_spikes(spark):
     assert got == want
     assert spikes.faulty_rows(frame(spark, []), mi).count() == 0
     assert [r[0] for r in spikes.faulty_rows(frame(spark, [(1, "s", None, 5, -3.0, 1, False)]), mi).collect()] == [1]
+
+
+def test_slices_by_rows_whatever_the_order_ids(spark):
+    """An outlier, one id for all rows and the ends of the number range leave no large slice, and the marks are right."""
+    for ids in ([*range(3000), 10**18], [-1] * 3000, [-(2**63), 2**63 - 1, *range(500)]):
+        df = spark.createDataFrame([("m", x, i) for i, x in enumerate(ids)], "g string, o bigint, t bigint")
+        assert lateness.order_slices(df, "o", 200, ["t"]).groupBy("_slice", "_salt").count().agg(F.max("count")).first()[0] <= 400
+        got = {r.t: r.watermark for r in lateness.running_watermark(df, "g", "o", "t", 200).collect()}
+        want = {i: max((j for j, y in enumerate(ids) if y < x), default=None) for i, x in list(enumerate(ids))[::97]}
+        assert len(got) == len(ids) and {i: got[i] for i in want} == want
+
+
+def test_periods_of_several_sources(spark):
+    rng = random.Random(6)
+    tick, idle, period = lateness.TICK_MS, 5 * lateness.TICK_MS, 900_000
+    rows = []
+    for i in range(400):
+        at = i * 40_000 + (10**7 if i > 200 else 0)
+        source = rng.choice(["a", "b", None]) if i < 300 else "a"
+        rows.append((rng.choice(["g", None]), source, rng.choice([1, 2]), at - rng.choice([0, 5_000, 2_000_000]), rng.choice([None, 1.0, rng.random()]), at, i))
+    want: dict = {}
+    for g in ("g", None):
+        mine = [r for r in rows if r[0] == g]
+        ticks = sorted({r[5] // tick for r in mine})
+        passed, low = {}, None
+        every = range(min(ticks), max(ticks) + 1)
+        for t in every:
+            passed[t] = low
+            live = {}
+            for s in ("a", "b", None):
+                sent = [r for r in mine if r[1] == s and r[5] // tick <= t]
+                if sent and max(r[5] // tick for r in sent) > t - idle // tick:
+                    live[s] = max(r[3] for r in sent)
+            if live:
+                low = min(live.values()) if low is None else max(low, min(live.values()))
+        newest: dict = {}
+        for r in mine:
+            if r[4] is None:
+                continue
+            p = r[3] - r[3] % period
+            late = passed[r[5] // tick] is not None and passed[r[5] // tick] >= p + period + 60_000
+            n = want.setdefault((g, p), [0, 0, 0])
+            if late:
+                n[2] += 1
+            elif (g, r[2], r[3]) in newest:
+                n[1] += 1
+            else:
+                newest[g, r[2], r[3]] = 1
+                n[0] += 1
+    df = spark.createDataFrame(rows, "grp string, source string, series int, ts bigint, value double, arrived_ms bigint, arrival int")
+    late = spark.createDataFrame([("g", 60_000), ("\0", 60_000), (None, 7)], "grp string, lateness_ms bigint")
+    got = {(r.grp, r.period_start): [r.n_values, r.n_rewritten, r.n_late] for r in lateness.source_periods(df, late, period, tick, idle).collect()}
+    assert got == want and sum(n[2] for n in want.values()) > 0
+    assert lateness.source_periods(df.where("false"), late).count() == 0
+
+
+def test_shards_do_not_copy_dense_buckets(spark):
+    df = spark.range(20_000).selectExpr("id AS sample_id", "1L AS h1", "2L AS h2", "id * 10 AS ts", "double(id % 7) AS value")
+    n, core, shards = spikes._shards(df, 2048, 96).agg(F.count("*"), F.count_if("core"), F.countDistinct("shard")).first()
+    assert n <= 1.1 * 20_000 and core == 20_000 and shards == 10
